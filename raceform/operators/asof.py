@@ -1,23 +1,21 @@
 """Point-in-time aggregates: only history strictly before the entry's own day or year is used.
 
-One pass replaces a loop over dates. History is reduced twice to a table with one row per
-(key, day): sums over the whole day, and the newest N rows of the day. One window over that
-table, bounded by the calendar, yields the state before each day for every N at once. No
-history row is ever paired with an entry, so a key holding a third of all rows costs no more
-than its share.
+One pass replaces a loop over dates. History is cut down per (key, day) to the day's sums and
+its newest N rows, both trimmed before the shuffle. Windows over that calendar-bounded table
+give the state before each day for every N at once. No history row is ever paired with an
+entry, and no task holds all rows of a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raceform.operators.ordered import day_tails
-
 ALL = "all"
+SPLIT = 2**20
 
 
 @dataclass(frozen=True)
@@ -25,7 +23,8 @@ class FormSpec:
     """Which statistics to build over the last N rows (or ``"all"``).
 
     ``metrics`` maps each column to its number of decimals. Sums are kept as whole numbers
-    of that unit, so they do not depend on the order rows arrive in.
+    of that unit, so they do not depend on the order rows arrive in. A metric with ``std`` may
+    reach 3e9 units per value; beyond that the square raises an overflow error.
     """
 
     metrics: Mapping[str, int]
@@ -41,104 +40,115 @@ class FormSpec:
         return max([n for n in self.windows if n != ALL], default=0)
 
 
-def _units(column: str, decimals: int) -> Column:
-    return F.round(F.col(column) * 10**decimals).cast("bigint") if decimals else F.col(column).cast("bigint")
+# Formulas are SQL text: a form table has hundreds of them, and text is parsed in one call each.
+def _units(column: str, decimals: int) -> str:
+    return f"CAST(round(`{column}` * {10**decimals}) AS BIGINT)" if decimals else f"CAST(`{column}` AS BIGINT)"
 
 
-def mean_of(total: Column, n: Column, decimals: int) -> Column:
-    scaled = total.cast("double") / F.lit(float(10**decimals)) if decimals else total.cast("double")
-    return F.try_divide(scaled, n.cast("double"))
+def mean_of(total: str, n: str, decimals: int) -> str:
+    scaled = f"CAST({total} AS DOUBLE) / {10**decimals}D" if decimals else f"CAST({total} AS DOUBLE)"
+    return f"try_divide({scaled}, CAST({n} AS DOUBLE))"
 
 
-def sample_std_of(total: Column, squares: Column, n: Column, decimals: int) -> Column:
+def sample_std_of(total: str, squares: str, n: str, decimals: int) -> str:
     """Sample standard deviation from exact sums; null below two values."""
-    t, q, k = total.cast("double"), squares.cast("double"), n.cast("double")
-    spread = F.greatest(q - t * t / F.when(k > 0, k), F.lit(0.0))
-    return F.when(n > 1, F.sqrt(F.try_divide(spread, k - 1)) / F.lit(float(10**decimals)))
-
-
-def _square(c: Column) -> Column:
-    return c.cast("decimal(19,0)") * c.cast("decimal(19,0)")
+    t, q, k = (f"CAST({x} AS DOUBLE)" for x in (total, squares, n))
+    return f"CASE WHEN {n} > 1 THEN sqrt(greatest({q} - {t} * {t} / {k}, 0D) / ({k} - 1)) / {10**decimals}D END"
 
 
 def form_table(points: DataFrame, history: DataFrame, key: str, date: str, order: Sequence[str], spec: FormSpec) -> DataFrame:
     """State before each (key, date) of ``points`` (distinct pairs), one row per pair."""
-    metrics = spec.metrics
-    unit_history = history.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(
-        key, date, *[c for c in order if c not in (key, date)],
-        *[_units(m, d).alias(f"_m_{m}") for m, d in metrics.items()],
-    )
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for m in metrics:
-        u = F.col(f"_m_{m}")
-        aggs += [F.count(u).alias(f"_n_{m}"), F.sum(u).alias(f"_s_{m}")]
-        if m in spec.std:
-            aggs.append(F.sum(_square(u)).alias(f"_q_{m}"))
-        if m in spec.max:
-            aggs.append(F.max(u).alias(f"_x_{m}"))
-    pieces = [unit_history.groupBy(key, date).agg(*aggs)]
-    if spec.depth:
-        value = F.struct(*[F.col(f"_m_{m}").alias(m) for m in metrics])
-        pieces.append(day_tails(unit_history, key, date, order, value, spec.depth))
-    pieces.append(points.select(key, date).where(F.col(key).isNotNull() & F.col(date).isNotNull()).distinct()
-                  .withColumn("_asked", F.lit(True)))
-
-    merged = pieces[0]
-    for piece in pieces[1:]:
-        merged = merged.unionByName(piece, allowMissingColumns=True)
-    # At most three rows per (key, day) reach this merge.
-    daily = merged.groupBy(key, date).agg(
-        *[F.max(c).alias(c) if c != "_tail" else F.first(c, True).alias(c) for c in merged.columns if c not in (key, date)]
+    metrics, depth = spec.metrics, max(spec.depth, 1)
+    named = lambda df: df.where(F.col(key).isNotNull() & F.col(date).isNotNull())
+    units = named(history).select(
+        key, date, *[c for c in order if c not in (key, date)], *[F.expr(f"{_units(m, d)} AS `_m_{m}`") for m, d in metrics.items()]
     )
-
-    w = Window.partitionBy(key).orderBy(date)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    running = [c for c in daily.columns if c[:3] in ("_n_", "_s_", "_q_") or c == "_rows"]
-    # Only columns asked for with "all" survive pruning.
-    selected = [F.col(key), F.col(date), F.col("_asked")]
-    selected += [F.sum(c).over(before).alias(c) for c in running]
-    selected += [F.max(c).over(before).alias(c) for c in daily.columns if c.startswith("_x_")]
-    selected.append(F.max(F.when(F.col("_rows").isNotNull(), F.col(date))).over(before).alias("_last_day"))
-    if spec.depth:
-        lags = [F.expr(f"lag(_tail, {i}) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY `{date}`)")
-                for i in range(1, spec.depth + 1)]
-        selected.append(F.slice(F.flatten(F.array_compact(F.array(*lags))), 1, spec.depth).alias("_recent"))
-    state = daily.select(*selected).where("_asked")
+    whole_day = [F.count(F.lit(1)).alias("_rows")]
+    if ALL in spec.windows:
+        whole_day += [F.expr(f"{_wide(a, n)} AS `_day_{n}`") for m in metrics for n, a in _aggregates(m, spec).items()]
+    # Both sides come out of a shuffle on (key, date); their join and everything up to the
+    # shuffle on key moves no rows again. At most `depth` rows per key and day remain.
+    daily = units.groupBy(key, date).agg(*whole_day).withColumn("_rn", F.lit(1))
+    w_day = Window.partitionBy(key, date).orderBy(*[F.col(c).desc() for c in order])
+    newest = units.withColumn("_rn", F.row_number().over(w_day)).where(F.col("_rn") <= depth) if spec.depth else (
+        units.select(key, date).distinct().withColumn("_rn", F.lit(1)))
+    known = newest.join(daily, [key, date, "_rn"], "left").withColumn("_asked", F.lit(False))
+    asked = named(points.select(key, date)).distinct().withColumn("_asked", F.lit(True))
+    rows = known.unionByName(asked, allowMissingColumns=True).repartition(key)
+
+    # After each history row: statistics of the newest N rows so far.
+    sliding = [
+        F.expr(f"{a} OVER (PARTITION BY `{key}`, _asked ORDER BY `{date}`, _rn DESC ROWS {n - 1} PRECEDING) AS `_{n}_{name}`")
+        for n in spec.windows if n != ALL for m in metrics for name, a in _aggregates(m, spec).items()
+    ]
+    names = [f"_{n}_{name}" for n in spec.windows if n != ALL for m in metrics for name in _aggregates(m, spec)]
+    after = rows.select("*", *sliding)
+    day_end = F.when(F.col("_rn") == 1, F.struct(F.col(date).alias("_last_day"), *names))
+
+    # Before each asked day: the state after the last earlier day, and sums over all earlier days.
+    earlier = f"(PARTITION BY `{key}` ORDER BY unix_date(`{date}`) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    w = Window.partitionBy(key).orderBy(F.unix_date(date)).rangeBetween(Window.unboundedPreceding, -1)
+    before = [F.last(day_end, True).over(w).alias("_recent")]
+    if ALL in spec.windows:
+        before += [
+            F.expr(f"{'max' if name.startswith('x_') else 'sum'}(`_day_{name}`) OVER {earlier} AS `_all_{name}`")
+            for m in metrics for name in _aggregates(m, spec)
+        ]
+    state = after.select(key, date, "_asked", *before).where("_asked")
 
     out = [F.col(key), F.col(date)]
     for n in spec.windows:
         for m, d in metrics.items():
-            stats = _window_stats(m, d, n, spec)
-            out += [stats[name].alias(f"{name}_{m}_{n}") for name in ("avg", "std", "max", "total") if m in getattr(spec, name)]
+            prefix = "_all_" if n == ALL else f"_recent._{n}_"
+            out += _statistics(m, d, n, lambda name, prefix=prefix: f"{prefix}{name}", spec)
     if spec.days_since:
-        out.append(F.datediff(F.col(date), F.col("_last_day")).cast("double").alias(spec.days_since))
+        out.append(F.datediff(F.col(date), F.col("_recent")["_last_day"]).cast("double").alias(spec.days_since))
     return state.select(*out)
 
 
-def _window_stats(m: str, d: int, n: int | str, spec: FormSpec) -> dict[str, Column]:
-    unit = F.lit(float(10**d))
-    if n == ALL:
-        total, count = F.col(f"_s_{m}"), F.col(f"_n_{m}")
-        seen = F.col("_rows") > 0
-        squares = F.col(f"_q_{m}") if m in spec.std else None
-        top = F.col(f"_x_{m}") if m in spec.max else None
-    else:
-        values = F.filter(F.transform(F.slice("_recent", 1, n), lambda r: r[m]), lambda x: x.isNotNull())
-        count = F.size(values)
-        total = F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-        squares = F.aggregate(values, F.lit(0).cast("decimal(38,0)"), lambda acc, x: (acc + _square(x)).cast("decimal(38,0)"))
-        top = F.array_max(values)
-        seen = F.size("_recent") > 0
-    stats = {
-        "avg": mean_of(total, count, d),
+def _aggregates(m: str, spec: FormSpec) -> dict[str, str]:
+    """Mergeable parts of a metric's statistics, over the unit column ``_m_<metric>``."""
+    u = f"`_m_{m}`"
+    parts = {f"n_{m}": f"count({u})", f"s_{m}": f"sum({u})"}
+    if m in spec.std:
+        parts[f"q_{m}"] = f"sum({u} * {u})"
+    if m in spec.max:
+        parts[f"x_{m}"] = f"max({u})"
+    return parts
+
+
+def _running(aggregate: str, name: str, n: int | str) -> str:
+    """Squares over an unlimited frame are summed as decimals."""
+    if n == ALL and name.startswith("q_"):
+        return f"sum(CAST({aggregate[len('sum('):-1]} AS DECIMAL(19,0)))"
+    return aggregate
+
+
+def _wide(aggregate: str, name: str) -> str:
+    """Day-level form of an aggregate: squares are summed in two whole-number parts, then widened.
+
+    Whole-number sums are much cheaper than decimal ones and a day's parts do not overflow;
+    the running sum over days is decimal.
+    """
+    if not name.startswith("q_"):
+        return aggregate
+    square = aggregate[len("sum("):-1]
+    return f"CAST(sum(({square}) div {SPLIT}) AS DECIMAL(28,0)) * {SPLIT} + sum(({square}) % {SPLIT})"
+
+
+def _statistics(m: str, d: int, n: int | str, part: Callable[[str], str], spec: FormSpec) -> list[Column]:
+    total, count = part(f"s_{m}"), part(f"n_{m}")
+    formulas = {}
+    if m in spec.avg:
+        formulas["avg"] = mean_of(total, count, d)
+    if m in spec.std:
+        formulas["std"] = sample_std_of(total, part(f"q_{m}"), count, d)
+    if m in spec.max:
+        formulas["max"] = f"CAST({part(f'x_{m}')} AS DOUBLE) / {10**d}D"
+    if m in spec.total:
         # An all-null sum over existing rows is 0; without any earlier row it is null.
-        "total": F.when(seen, F.coalesce(total, F.lit(0)).cast("double") / unit),
-    }
-    if squares is not None:
-        stats["std"] = sample_std_of(total, squares, count, d)
-    if top is not None:
-        stats["max"] = top.cast("double") / unit
-    return stats
+        formulas["total"] = f"CASE WHEN {count} IS NOT NULL THEN CAST(coalesce({total}, 0) AS DOUBLE) / {10**d}D END"
+    return [F.expr(f"{text} AS `{name}_{m}_{n}`") for name, text in formulas.items()]
 
 
 def form_features(
@@ -155,27 +165,22 @@ def rolling_form(history: DataFrame, key: str, date: str, spec: FormSpec) -> Dat
     one shuffle, no join.
     """
     metrics = spec.metrics
-    units = history.select("*", *[_units(m, d).alias(f"_m_{m}") for m, d in metrics.items()])
-    w = Window.partitionBy(key).orderBy(date)
-    out = []
+    units = history.select("*", *[F.expr(f"{_units(m, d)} AS `_m_{m}`") for m, d in metrics.items()])
+    parts, out = [], []
     for n in spec.windows:
-        frame = w.rowsBetween(Window.unboundedPreceding if n == ALL else -n, -1)
-        rows = F.count(F.lit(1)).over(frame)
+        first = "UNBOUNDED" if n == ALL else n
+        over = f"OVER (PARTITION BY `{key}` ORDER BY `{date}` ROWS BETWEEN {first} PRECEDING AND 1 PRECEDING)"
         for m, d in metrics.items():
-            u, unit = F.col(f"_m_{m}"), F.lit(float(10**d))
-            total, count = F.sum(u).over(frame), F.count(u).over(frame)
-            if m in spec.avg:
-                out.append(mean_of(total, count, d).alias(f"avg_{m}_{n}"))
-            if m in spec.std:
-                squares = F.sum(_square(u)).over(frame)
-                out.append(sample_std_of(total, squares, count, d).alias(f"std_{m}_{n}"))
-            if m in spec.max:
-                out.append((F.max(u).over(frame).cast("double") / unit).alias(f"max_{m}_{n}"))
-            if m in spec.total:
-                out.append(F.when(rows > 0, F.coalesce(total, F.lit(0)).cast("double") / unit).alias(f"total_{m}_{n}"))
+            # count() over an empty frame is 0; the null that "no earlier row" means comes from the row count.
+            parts += [
+                F.expr(f"CASE WHEN count(1) {over} > 0 THEN {_running(a, name, n)} {over} END AS `_{n}_{name}`")
+                for name, a in _aggregates(m, spec).items()
+            ]
+            out += _statistics(m, d, n, lambda name, n=n: f"`_{n}_{name}`", spec)
     if spec.days_since:
-        out.append(F.datediff(F.col(date), F.lag(date, 1).over(w)).cast("double").alias(spec.days_since))
-    return units.select(*history.columns, *out)
+        earlier = F.lag(date, 1).over(Window.partitionBy(key).orderBy(date))
+        out.append(F.datediff(F.col(date), earlier).cast("double").alias(spec.days_since))
+    return units.select("*", *parts).select(*history.columns, *out)
 
 
 # Jockey-year form -----------------------------------------------------------------
@@ -195,6 +200,11 @@ def jockey_year_wide(long: DataFrame, jockey: str = "jockey_id", year: str = "ye
     return long.groupBy(jockey, year).agg(*aggs)
 
 
+def _total(values: Column) -> Column:
+    """Sum of an array of whole numbers, nulls counting as 0."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x, F.lit(0)).cast("bigint"))
+
+
 def jockey_form(
     entries: DataFrame, yearly: DataFrame, pairs: Mapping[str, tuple[str, str]],
     jockey: str = "jockey_id", year: str = "year", n: int | str = 2,
@@ -220,9 +230,7 @@ def jockey_form(
         lags = [F.expr(f"lag(_y, {i}) IGNORE NULLS OVER (PARTITION BY `{jockey}` ORDER BY `{year}`)") for i in range(1, n + 1)]
         recent = merged.select(jockey, year, "_asked", F.array_compact(F.array(*lags)).alias("_recent"))
         state = recent.select(jockey, year, "_asked", *[
-            F.aggregate(F.transform("_recent", lambda y, c=c: F.coalesce(y[c], F.lit(0)).cast("bigint")),
-                        F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias(c)
-            for c in columns
+            _total(F.col("_recent")[c]).alias(c) for c in columns
         ])
     ratios = [F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")).alias(name) for name, (a, b) in pairs.items()]
     return entries.join(state.where("_asked").select(jockey, year, *ratios), [jockey, year], "left")

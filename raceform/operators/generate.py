@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from raceform.functions.codes import COURSES
 
-# The candidate grid and its address.
+# The candidate grid.
 MEETINGS = 7
 DAYS = 13
 RACES = 12
-PAGE_PREFIX = "https://db.netkeiba.com/race/"
+# Site address put before the race id; callers pass their own.
+PAGE_PREFIX = "https://example.com/race/"
 
 
 def courses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(COURSES.items()), "course_id int, place string")
 
 
-def candidate_pages(seasons: DataFrame, literal_ids: bool = False) -> DataFrame:
+def candidate_pages(seasons: DataFrame, literal_ids: bool = False, prefix: str = PAGE_PREFIX) -> DataFrame:
     """All candidate pages of the given ``(year, course_id, place)`` rows.
 
     One explode of a single range per season row, so generation scales with the input rows.
@@ -36,7 +37,7 @@ def candidate_pages(seasons: DataFrame, literal_ids: bool = False) -> DataFrame:
     return (
         seasons.select("year", "course_id", "place", F.explode(F.sequence(F.lit(0), F.lit(per_season - 1))).alias("k"))
         .select(
-            F.concat(F.lit(PAGE_PREFIX), race_id).alias("url"),
+            F.concat(F.lit(prefix), race_id).alias("url"),
             race_id.alias("current_race_id"),
             (F.col("course_id") - 1).cast("int").alias("racecourse_i"),
             "place",
@@ -52,9 +53,11 @@ def _two_digits(c: Column) -> Column:
     return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
-def season_candidates(spark: SparkSession, year_start: int, year_end: int, literal_ids: bool = False) -> DataFrame:
+def season_candidates(
+    spark: SparkSession, year_start: int, year_end: int, literal_ids: bool = False, prefix: str = PAGE_PREFIX
+) -> DataFrame:
     """Candidates of every course for an inclusive range of years."""
     seasons = courses(spark).select(
         F.explode(F.sequence(F.lit(year_start), F.lit(year_end))).alias("year"), "course_id", "place"
     )
-    return candidate_pages(seasons, literal_ids)
+    return candidate_pages(seasons, literal_ids, prefix)
