@@ -1 +1,95 @@
-"""Queries."""
+"""Set operations, reshaping and encoders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from raceform.catalog import roles
+from raceform.catalog.registry import query
+from raceform.catalog.roles import t
+from raceform.operators import encode, reshape
+
+
+@query("U1_union_history", """SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer
+  UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier""")
+def union_history(spark: SparkSession, sf: str) -> DataFrame:
+    history = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    current = t(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    return reshape.union_tables(history, current)
+
+
+@query("U2_keyed_union", """SELECT 'open' AS kind, o_orderkey, o_custkey, NULL::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT 'closed', o_orderkey, NULL, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+def keyed_union(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders")
+    return reshape.keyed_union({
+        "open": o.where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_custkey"),
+        "closed": o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice"),
+    }, "kind")
+
+
+@query("X1_split_columns", """SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS a, nullif(split_part(o_orderpriority, '-', 2), '') AS b, NULL::VARCHAR AS c FROM orders""")
+def split_columns(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return reshape.split_columns(o, "o_orderpriority", "-", ["a", "b", "c"]).drop("o_orderpriority")
+
+
+@query("X2_dummies", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS "o_orderstatus_F", CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS "o_orderstatus_O",
+  CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END AS "o_orderstatus_P" FROM orders""")
+def dummies(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return encode.apply_dummies(o, encode.fit_dummies(o, ["o_orderstatus"]))
+
+
+@query("X3_pivot", "SELECT l_partkey AS horse_id, " + ", ".join(f"max(ancestor) FILTER (pos = {i}) AS peds_{i}" for i in range(7))
+       + " FROM (SELECT l_partkey, l_linenumber - 1 AS pos, concat(l_returnflag, l_suppkey) AS ancestor FROM lineitem) q GROUP BY 1")
+def pivot(spark: SparkSession, sf: str) -> DataFrame:
+    long = t(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("horse_id"), (F.col("l_linenumber") - 1).alias("pos"),
+        F.concat("l_returnflag", F.col("l_suppkey").cast("string")).alias("ancestor"))
+    return reshape.pivot_pedigree(long, "horse_id", 7)
+
+
+@query("X5_unpivot", f"""WITH {roles.RIDES}, w AS (SELECT jockey_id, year, count(*) FILTER (surface = 'turf')::BIGINT AS ts, count(*) FILTER (surface = 'turf' AND l_discount >= 0.05)::BIGINT AS tw,
+    count(*) FILTER (surface = 'dirt')::BIGINT AS ds, count(*) FILTER (surface = 'dirt' AND l_discount >= 0.05)::BIGINT AS dw FROM rides GROUP BY ALL)
+  SELECT jockey_id, year, 'turf' AS category, ts AS starts, tw AS wins FROM w UNION ALL SELECT jockey_id, year, 'dirt', ds, dw FROM w""")
+def unpivot(spark: SparkSession, sf: str) -> DataFrame:
+    from raceform.operators.asof import jockey_year_wide
+
+    wide = jockey_year_wide(roles.jockey_long(spark, sf)).na.fill(0)
+    groups = {c: [f"{c}_starts", f"{c}_wins"] for c in ("turf", "dirt")}
+    return reshape.unpivot_categories(wide, ["jockey_id", "year"], groups, ["starts", "wins"])
+
+
+_JOCKEY = "CASE WHEN o_orderkey % 10 > 0 THEN concat('J', o_custkey) END"
+
+
+@query("F6_label_codes", f"""SELECT o_orderkey, CASE WHEN j IS NULL THEN (SELECT count(DISTINCT j) FROM (SELECT {_JOCKEY} AS j FROM orders) n)
+    ELSE dense_rank() OVER (ORDER BY j NULLS LAST) - 1 END AS jockey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS priority
+  FROM (SELECT *, {_JOCKEY} AS j FROM orders) o""")
+def label_codes(spark: SparkSession, sf: str) -> DataFrame:
+    jockey = F.when(F.col("o_orderkey") % 10 > 0, F.concat(F.lit("J"), F.col("o_custkey").cast("string")))
+    o = t(spark, sf, "orders").select("o_orderkey", jockey.alias("jockey"), F.col("o_orderpriority").alias("priority"))
+    entities = {"jockey": ["jockey"], "priority": ["priority"]}
+    return encode.apply_labels(o, encode.fit_labels(o, entities), entities)
+
+
+@query("F6_label_codes_null_text", f"""SELECT o_orderkey, dense_rank() OVER (ORDER BY coalesce({_JOCKEY}, 'Na')) - 1 AS jockey FROM orders""")
+def label_codes_null_text(spark: SparkSession, sf: str) -> DataFrame:
+    jockey = F.when(F.col("o_orderkey") % 10 > 0, F.concat(F.lit("J"), F.col("o_custkey").cast("string")))
+    o = t(spark, sf, "orders").select("o_orderkey", jockey.alias("jockey"))
+    entities = {"jockey": ["jockey"]}
+    return encode.apply_labels(o, encode.fit_labels(o, entities, "Na"), entities, "Na")
+
+
+@query("F6_shared_codes", """WITH v AS (SELECT p AS value, row_number() OVER (ORDER BY p) - 1 AS code FROM (
+    SELECT concat('K', l_partkey) AS p FROM lineitem UNION SELECT concat('K', l_suppkey) FROM lineitem) u)
+  SELECT l_orderkey, l_linenumber, l_quantity, a.code AS now, b.code AS before FROM lineitem JOIN v a ON a.value = concat('K', l_partkey) JOIN v b ON b.value = concat('K', l_suppkey)""")
+def shared_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns of one entity share codes."""
+    li = t(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", F.concat(F.lit("K"), F.col("l_partkey").cast("string")).alias("now"),
+        F.concat(F.lit("K"), F.col("l_suppkey").cast("string")).alias("before"))
+    entities = {"horse": ["now", "before"]}
+    return encode.apply_labels(li, encode.fit_labels(li, entities), entities)
