@@ -13,7 +13,8 @@ from raceform.functions import text as tx
 from raceform.functions.numeric import row_sum
 from raceform.operators import stats
 from raceform.operators.asof import ALL, FormSpec, form_features, jockey_year_wide
-from raceform.operators.ordered import latest_values
+from raceform.operators.ordered import latest_values, merge_copies
+from raceform.operators.project import sentinels_to_null
 
 
 def _single(kind: str, metric: str, decimals: int) -> tuple[FormSpec, str]:
@@ -81,17 +82,15 @@ def last_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ORDER = "(update_at, horse_number, jockey, popularity)"
-_DEDUPED = ("run_time", "odds", "rank", "weight", "date")
+_DEDUPED = ("run_time", "odds", "rank", "weight", "date", "horse_number", "jockey", "popularity", "update_at")
 
 
 @query("A9_dedupe_runners", f"""WITH {roles.RAW_RACE}, k AS (SELECT race_id, horse, update_at, horse_number, jockey, popularity, weight, date, rank,
     nullif(run_time, '') AS run_time, nullif(odds, '---') AS odds FROM raw_race)
   SELECT race_id, horse, {', '.join(f'arg_max({c}, {_ORDER}) FILTER ({c} IS NOT NULL) AS {c}' for c in _DEDUPED)} FROM k GROUP BY race_id, horse""")
 def dedupe_runners(spark: SparkSession, sf: str) -> DataFrame:
-    from raceform.operators.project import sentinels_to_null
-
-    raw = sentinels_to_null(roles.raw_race(spark, sf))
-    return latest_values(raw, ["race_id", "horse"], ["update_at", "horse_number", "jockey", "popularity"], list(_DEDUPED))
+    raw = sentinels_to_null(roles.raw_race(spark, sf)).select("race_id", "horse", *_DEDUPED)
+    return merge_copies(raw, ["race_id", "horse"], ["update_at", "horse_number", "jockey", "popularity"])
 
 
 @query("A10_mean_body_weight", """SELECT l_partkey AS horse_id, avg(l_partkey % 150 + 400 + l_linenumber) AS weight, avg(l_suppkey % 21 - 10) AS weight_change

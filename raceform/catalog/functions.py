@@ -93,23 +93,24 @@ def run_seconds(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf, seconds=tx.run_seconds(F.when(F.col("l_partkey") % 50 == 0, "").otherwise(text)))
 
 
-_PASS = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 18).cast("string"))
+def _pass() -> Column:
+    return F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 18).cast("string"))
 
 
 @query("F9_pass_order_mean", f"SELECT {_LINE_SQL}, (l_linenumber + CAST(l_quantity AS INT) + l_suppkey % 18)::DOUBLE / 3 AS pass_order FROM lineitem")
 def pass_order_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf, pass_order=tx.pass_order_mean(_PASS))
+    return _lines(spark, sf, pass_order=tx.pass_order_mean(_pass()))
 
 
 @query("F10_corners", f"SELECT {_LINE_SQL}, l_linenumber AS first_corner, CAST(l_suppkey % 18 AS INT) AS final_corner FROM lineitem")
 def corners(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf, first_corner=tx.first_corner(_PASS), final_corner=tx.final_corner(_PASS))
+    return _lines(spark, sf, first_corner=tx.first_corner(_pass()), final_corner=tx.final_corner(_pass()))
 
 
 @query("F11_corner_differences", f"""SELECT {_LINE_SQL}, CAST(l_suppkey % 18 - l_partkey % 18 AS BIGINT) AS final_to_rank, CAST(l_linenumber - l_partkey % 18 AS BIGINT) AS first_to_rank,
   CAST(l_suppkey % 18 - l_linenumber AS INT) AS first_to_final FROM lineitem""")
 def corner_differences(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf, **numeric.corner_differences(tx.first_corner(_PASS), tx.final_corner(_PASS), F.col("l_partkey") % 18))
+    return _lines(spark, sf, **numeric.corner_differences(tx.first_corner(_pass()), tx.final_corner(_pass()), F.col("l_partkey") % 18))
 
 
 @query("F12_to_number", f"WITH {roles.RAW_RACE} SELECT {_RAW_KEYS}, TRY_CAST(odds AS DOUBLE) AS odds, TRY_CAST(rank AS INT) AS rank FROM raw_race")

@@ -49,7 +49,7 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
                      F.lit("回中京7日目 "), pick(CLASS_TEXTS, k % 15), F.lit("&nbsp;&nbsp;(混)</p>"))
     table = F.concat(F.lit(f'<table class="{pg.RESULT_TABLE_CLASS}" summary="r"><tr><th>着順</th></tr>\n'), _rows(row), F.lit("</table>"))
     return t(spark, sf, "pages").select(
-        "page_id", "url", F.lpad(k.cast("string"), 12, "0").alias("current_race_id"), (k % 10).cast("int").alias("racecourse_i"),
+        "page_id", "url", F.concat(F.lit("1998"), F.lpad(k.cast("string"), 8, "0")).alias("current_race_id"), (k % 10).cast("int").alias("racecourse_i"),
         F.lit("中京").alias("place"), (k % 12).cast("int").alias("race_number_i"), F.lit(1998).alias("year"),
         F.concat("html", F.lit("<h1>Race "), k.cast("string"), F.lit("</h1>"), *[x for s in spans for x in (F.lit("<span>"), s, F.lit("</span>"))],
                  small, F.when(k % 5 > 0, table).otherwise("")).alias("html"))
@@ -60,7 +60,7 @@ LINKS = rf"""links AS (SELECT page_id, url, i - 1 AS i, page_id AS k,
   trim(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS horse
   FROM (SELECT page_id, url, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '{LINK}', 2) AS l FROM pages) a) b)"""
 
-RESULT_SQL = f"""SELECT lpad(CAST(k AS VARCHAR), 12, '0') AS race_id, horse, concat('J', k % 9) AS jockey, CAST(i + 1 AS VARCHAR) AS horse_number,
+RESULT_SQL = f"""SELECT concat('1998', lpad(CAST(k AS VARCHAR), 8, '0')) AS race_id, horse, concat('J', k % 9) AS jockey, CAST(i + 1 AS VARCHAR) AS horse_number,
   CASE WHEN (k + i) % 7 = 0 THEN '' ELSE concat('1:3', i % 10, '.5') END AS run_time, CASE WHEN i = 3 THEN '---' ELSE '9.9' END AS odds,
   concat(i + 1, '-', i % 4) AS pass_order, CASE WHEN (k + i) % 7 = 0 THEN '中止' ELSE CAST(i + 1 AS VARCHAR) END AS rank,
   CAST(CASE WHEN i % 3 = 2 THEN 0 ELSE i + 470 END AS INT) AS weight, CASE WHEN i % 3 = 1 THEN 2 ELSE 0 END AS weight_change, '牝' AS gender,

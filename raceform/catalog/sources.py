@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from raceform.catalog import roles
 from raceform.catalog.registry import query
@@ -12,11 +11,12 @@ from raceform.catalog.roles import iso, t
 from raceform.functions.codes import COURSES
 from raceform.operators import generate, pages
 from raceform.operators.reshape import union_tables
+from raceform.schemas import struct
 from raceform.session import new_path
 from raceform.sources import sinks, tables
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
-ORDERS_SCHEMA = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_totalprice double")
+ORDERS_SCHEMA = struct("o_orderkey bigint, o_custkey bigint, o_totalprice double")
 
 
 @query("S1_incremental_scan", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS update_at FROM orders

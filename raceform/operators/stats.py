@@ -94,12 +94,12 @@ def tier_statistics(history: DataFrame, jockey: str, rank: str, tiers: Sequence[
     return placed.groupBy(jockey).agg(*aggs)
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
+def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Balanced weights ``n / (k * n_c)``: one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     totals = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
     n, k = totals.select("n").scalar(), totals.select("k").scalar()
-    return counts.select(label, (n.cast("double") / (k * F.col("n_c"))).alias("weight"))
+    return counts.select(label, (n.cast("double") / (k * F.col("n_c"))).alias(name))
 
 
 def confusion(df: DataFrame, label: str, probability: str, threshold: float = 0.5) -> DataFrame:
