@@ -79,14 +79,16 @@ def result_tables(spark: SparkSession, sf: str) -> DataFrame:
 @query("H2_race_header", """SELECT page_id, (['芝', 'ダ'])[page_id % 2 + 1] AS turf_or_dirt, (['右', '左'])[page_id % 2 + 1] AS lap,
   CAST(page_id % 16 * 100 + 1000 AS VARCHAR) AS distance, (['晴', '曇', '小'])[page_id % 3 + 1] AS weather, (['良', '稍'])[page_id % 2 + 1] AS racecourse FROM pages""")
 def race_header(spark: SparkSession, sf: str) -> DataFrame:
-    return result_pages(spark, sf).select("page_id", *[c.alias(n) for n, c in pg.race_header(F.col("html")).items()])
+    parts = result_pages(spark, sf).select("page_id", *[c.alias(n) for n, c in pg.page_parts(F.col("html")).items()])
+    return parts.select("page_id", *[c.alias(n) for n, c in pg.race_header().items()])
 
 
 @query("H3_headings", rf"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, concat('Race ', page_id) AS race_name, concat('1998年', page_id % 12 + 1, '月7日') AS date,
   concat(page_id % 6 + 1, '回中京7日目') AS event, ({sql_list(CLASS_TEXTS)})[page_id % 15 + 1] AS class FROM pages""")
 def headings(spark: SparkSession, sf: str) -> DataFrame:
     html = F.col("html")
-    return result_pages(spark, sf).select("page_id", pg.title(html).alias("title"), *[c.alias(n) for n, c in pg.race_heading(html).items()])
+    parts = result_pages(spark, sf).select("page_id", pg.title(html).alias("title"), *[c.alias(n) for n, c in pg.page_parts(html).items()])
+    return parts.select("page_id", "title", *[c.alias(n) for n, c in pg.race_heading().items()])
 
 
 @query("H4_links", r"""SELECT page_id, pos - 1 AS pos, link FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS pos

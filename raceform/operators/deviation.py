@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceform.functions.exact import sum_of_squares, units
+
 # Score offsets and the number of decimals of probabilities and scores.
 OFFSETS = {"p1": 60.0, "p2": 25.0, "p3": 15.0, "p_other": 0.0, "top3": 60.0, "expected": 50.0}
 INVERTED = {"expected"}
@@ -19,16 +21,11 @@ DECIMALS = 3
 SUMMED = ("p1", "p2", "p3")
 
 
-def _unit(c: str) -> Column:
-    return F.round(F.col(c) * 10**DECIMALS).cast("bigint")
-
-
 def _sums(columns: Sequence[str]) -> list[Column]:
     out = []
     for c in columns:
-        u = _unit(c)
-        out += [F.count(u).alias(f"_n_{c}"), F.sum(u).alias(f"_s_{c}"),
-                F.sum(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")).cast("decimal(38,0)").alias(f"_q_{c}")]
+        u = units(F.col(c), DECIMALS)
+        out += [F.count(u).alias(f"_n_{c}"), F.sum(u).alias(f"_s_{c}"), sum_of_squares(u).alias(f"_q_{c}")]
     return out
 
 

@@ -66,12 +66,22 @@ def nth_table(html: Column, n: int) -> Column:
     return F.when(first_header == AWARDS_HEADER, F.get(tables, F.lit(n + 1))).otherwise(F.get(tables, F.lit(n)))
 
 
-def race_header(html: Column) -> dict[str, Column]:
-    """Surface, direction, distance, weather and going from the header span."""
+def page_parts(html: Column) -> dict[str, Column]:
+    """The pieces of a result page that several fields come from; select them first, so each is searched once."""
     spans = F.transform(inner(html, "span"), plain_text)
     candidates = F.array(*[F.get(spans, F.lit(i)) for i in HEADER_SPANS])
-    span = F.get(F.filter(candidates, lambda s: s.rlike(HEADER_SPAN)), F.lit(0))
-    parts = F.split(span, "/")
+    small = plain_text(F.regexp_extract(html, r'(?s)<p class="smalltxt">(.*?)</p>', 1))
+    table = F.regexp_extract(html, rf'(?s)<table[^>]*class="{RESULT_TABLE_CLASS}"[^>]*>(.*?)</table>', 1)
+    return {
+        "_header": F.split(F.get(F.filter(candidates, lambda s: s.rlike(HEADER_SPAN)), F.lit(0)), "/"),
+        "_heading": F.split(small, r"\s+"),
+        "_name": plain_text(F.get(inner(html, "h1"), F.lit(1))),
+        "_rows": table_rows(table),
+    }
+
+
+def race_header(parts: Column | str = "_header") -> dict[str, Column]:
+    """Surface, direction, distance, weather and going from the header text, split at slashes."""
     first = F.get(parts, F.lit(0))
 
     def after_colon(i: int) -> Column:
@@ -86,12 +96,10 @@ def race_header(html: Column) -> dict[str, Column]:
     }
 
 
-def race_heading(html: Column) -> dict[str, Column]:
-    """Race name (second ``h1``), date, meeting and class from the small text line."""
-    small = plain_text(F.regexp_extract(html, r'(?s)<p class="smalltxt">(.*?)</p>', 1))
-    words = F.split(small, r"\s+")
+def race_heading(words: Column | str = "_heading", name: str = "_name") -> dict[str, Column]:
+    """Race name (second ``h1``), date, meeting and class from the words of the small text line."""
     return {
-        "race_name": plain_text(F.get(inner(html, "h1"), F.lit(1))),
+        "race_name": F.col(name),
         "date": F.get(words, F.lit(0)),
         "event": F.get(words, F.lit(1)),
         "class": F.get(words, F.lit(2)),
@@ -105,18 +113,13 @@ def parse_results(pages: DataFrame, parsed_at: Column | None = None) -> DataFram
     Pages without a result table yield no rows. ``parsed_at`` defaults to the current time.
     """
     stamp = parsed_at if parsed_at is not None else F.current_timestamp()
-    table = F.regexp_extract("html", rf'(?s)<table[^>]*class="{RESULT_TABLE_CLASS}"[^>]*>(.*?)</table>', 1)
-    page_level = {**race_header(F.col("html")), **race_heading(F.col("html"))}
-    rows = (
-        pages.withColumn("_rows", table_rows(table))
-        .where(F.size("_rows") > 1)
-        .select(
-            F.col("current_race_id").alias("race_id"), F.col("racecourse_i").cast("int").alias("place_id"),
-            F.col("place").alias("place_name"), *[c.alias(n) for n, c in page_level.items()],
-            F.explode(F.slice(F.col("_rows"), F.lit(2), F.size("_rows"))).alias("_row"),
-        )
-        .withColumn("_cells", row_cells(F.col("_row")))
-    )
+    split = pages.select("current_race_id", "racecourse_i", "place", *[c.alias(n) for n, c in page_parts(F.col("html")).items()])
+    page_level = {**race_header(), **race_heading()}
+    rows = split.select(
+        F.col("current_race_id").alias("race_id"), F.col("racecourse_i").cast("int").alias("place_id"),
+        F.col("place").alias("place_name"), *[c.alias(n) for n, c in page_level.items()],
+        F.explode(F.slice(F.col("_rows"), F.lit(2), F.size("_rows"))).alias("_row"),
+    ).withColumn("_cells", row_cells(F.col("_row")))
     cells = {name: F.get("_cells", F.lit(i)) for name, i in RESULT_CELLS.items()}
     values = {
         **{n: F.coalesce(cells[n], F.lit("")) if n in ("run_time", "pass_order", "rise", "popularity") else cells[n]

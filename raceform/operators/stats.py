@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceform.functions.exact import sum_of_squares, units
 from raceform.functions.numeric import clamp_z
 from raceform.operators.ordered import split_by_date  # noqa: F401  (date-ordered split is part of this group)
 
@@ -36,11 +37,8 @@ def with_win_rate_before(df: DataFrame, jockey: str, date: str, rank: str, name:
 
 def exact_moments(column: str, decimals: int) -> list[Column]:
     """Count, sum and sum of squares over whole units of ``10**-decimals``."""
-    u = F.round(F.col(column) * 10**decimals).cast("bigint")
-    return [
-        F.count(u).alias("n"), F.sum(u).alias("s"),
-        F.sum(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")).alias("q"),
-    ]
+    u = units(F.col(column), decimals)
+    return [F.count(u).alias("n"), F.sum(u).alias("s"), sum_of_squares(u).alias("q")]
 
 
 def mean_and_std(df: DataFrame, column: str, decimals: int) -> DataFrame:
@@ -144,9 +142,8 @@ def standardise(df: DataFrame, columns: Mapping[str, int], by: Sequence[str], dr
     """Population z-score per group for a list of columns; null where the group does not vary."""
     aggs, out = [], []
     for c, decimals in columns.items():
-        u = F.round(F.col(c) * 10**decimals).cast("bigint")
-        aggs += [F.count(u).alias(f"_n_{c}"), F.sum(u).alias(f"_s_{c}"),
-                 F.sum(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")).alias(f"_q_{c}")]
+        u = units(F.col(c), decimals)
+        aggs += [F.count(u).alias(f"_n_{c}"), F.sum(u).alias(f"_s_{c}"), sum_of_squares(u).alias(f"_q_{c}")]
         n, s, q = (F.col(f"_{k}_{c}").cast("double") for k in "nsq")
         unit = F.lit(float(10**decimals))
         sd = F.sqrt(F.greatest(F.try_divide(q - F.try_divide(s * s, n), n), F.lit(0.0))) / unit
