@@ -48,11 +48,13 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
     small = F.concat(F.lit('<p class="smalltxt">1998年'), (k % 12 + 1).cast("string"), F.lit("月7日 "), (k % 6 + 1).cast("string"),
                      F.lit("回中京7日目 "), pick(CLASS_TEXTS, k % 15), F.lit("&nbsp;&nbsp;(混)</p>"))
     table = F.concat(F.lit(f'<table class="{pg.RESULT_TABLE_CLASS}" summary="r"><tr><th>着順</th></tr>\n'), _rows(row), F.lit("</table>"))
-    return t(spark, sf, "pages").select(
+    derived = t(spark, sf, "pages").select(
         "page_id", "url", F.concat(F.lit("1998"), F.lpad(k.cast("string"), 8, "0")).alias("current_race_id"), (k % 10).cast("int").alias("racecourse_i"),
         F.lit("中京").alias("place"), (k % 12).cast("int").alias("race_number_i"), F.lit(1998).alias("year"),
         F.concat("html", F.lit("<h1>Race "), k.cast("string"), F.lit("</h1>"), *[x for s in spans for x in (F.lit("<span>"), s, F.lit("</span>"))],
                  small, F.when(k % 5 > 0, table).otherwise("")).alias("html"))
+    # Stored as a page table would be; otherwise the markup is rebuilt for every field read from it.
+    return materialize(derived, "pages")
 
 
 # The link texts as SQL sees them: decoded, trimmed, numbered.

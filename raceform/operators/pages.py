@@ -14,7 +14,7 @@ RESULT_CELLS = {
     "rank": 0, "horse_number": 2, "horse": 3, "sex_age": 4, "load": 5, "jockey": 6, "run_time": 7,
     "pass_order": 10, "rise": 11, "odds": 12, "popularity": 13, "weight_text": 14,
 }
-HEADER_SPANS = (8, 7, 6)
+HEADER_SPANS = (7, 3)  # 1-based start and length: the span numbered 8 from 0, else 7, else 6
 HEADER_SPAN = r"^..[^/]*m[^/]*/[^/:]*:[^/]*/[^/:]*:"
 AWARDS_HEADER = "受賞歴"
 ENTRY_COLUMNS = {
@@ -69,7 +69,7 @@ def nth_table(html: Column, n: int) -> Column:
 def page_parts(html: Column) -> dict[str, Column]:
     """The pieces of a result page that several fields come from; select them first, so each is searched once."""
     spans = F.transform(inner(html, "span"), plain_text)
-    candidates = F.array(*[F.get(spans, F.lit(i)) for i in HEADER_SPANS])
+    candidates = F.reverse(F.slice(spans, *HEADER_SPANS))
     small = plain_text(F.regexp_extract(html, r'(?s)<p class="smalltxt">(.*?)</p>', 1))
     table = F.regexp_extract(html, rf'(?s)<table[^>]*class="{RESULT_TABLE_CLASS}"[^>]*>(.*?)</table>', 1)
     return {
