@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a folder brought together, so that not every task writes every folder.
+
+    The rebalance hint lets AQE split a heavy folder over tasks and join light ones.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    clustered(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
@@ -22,7 +30,7 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequ
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite the table, or only the partitions present in ``df`` when partitioned."""
-    writer = df.write.mode("overwrite")
+    writer = clustered(df, partition_by).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)

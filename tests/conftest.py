@@ -12,7 +12,7 @@ from raceform.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "raceform-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
            "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")

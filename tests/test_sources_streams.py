@@ -89,3 +89,10 @@ def test_requests_are_scored_as_batch_would(spark, tmp_path):
         write(spark, folder, [("b", 3, at(2))])
     got = sorted((r["url"], r["s"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("a", 3.0), ("b", 3.0)]
+
+
+def test_partitioned_writes_do_not_scatter_small_files(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 8).select("id", (F.col("id") % 5).alias("p"))
+    sinks.append(df, str(tmp_path / "t"), ["p"])
+    files = [f for d in (tmp_path / "t").iterdir() if d.is_dir() for f in d.glob("*.parquet")]
+    assert len(files) == 5 and spark.read.parquet(str(tmp_path / "t")).count() == 4000
