@@ -172,17 +172,20 @@ def latest_values(df: DataFrame, by: Sequence[str], order: Sequence[str], column
 def merge_copies(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``latest_values`` for wide rows that mostly have no copies: one row per group, last non-null per column.
 
-    One aggregate keeps each group's newest row. Only groups with copies whose newest row has a
+    A rank limit keeps each group's newest row. Only groups with copies whose newest row has a
     gap are read again and merged column by column. The first result is written once, as both
     parts come from it.
     """
     columns = [c for c in df.columns if c not in by]
     keyed = df.na.drop(subset=list(by))
-    newest = keyed.groupBy(*by).agg(
-        F.max_by(F.struct(*columns), F.struct(*order)).alias("_row"), (F.count(F.lit(1)) > 1).alias("_copies")
-    )
-    gap = F.col("_copies") & ~F.expr(" AND ".join(f"_row.`{c}` IS NOT NULL" for c in columns))
-    pinned = materialize(newest.select(*by, *[F.col("_row")[c].alias(c) for c in columns], gap.alias("_gap")), "newest")
+    # Two rows per group tell the newest and whether there are copies; the limit trims before the shuffle.
+    w = Window.partitionBy(*by).orderBy(*_desc(order))
+    two = keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2)
+    newest = two.withColumn("_copies", F.lead("_rn", 1).over(w).isNotNull()).where(F.col("_rn") == 1)
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    pinned = materialize(newest.select(*df.columns, (F.col("_copies") & ~complete).alias("_gap")), "newest")
     merged = latest_values(keyed.join(pinned.where("_gap").select(*by), list(by), "left_semi"), by, order)
     return pinned.where("NOT _gap").select(*df.columns).unionByName(merged)
 
