@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceform.llm import chat, line_runs, mixing
-from raceform.llm.sql import LINES_SQL, CHAT_SQL, MIX_SQL
+from raceform.llm import bottomk, chat, decontaminate, line_runs, mixing
+from raceform.llm.sql import CHAT_SQL, LINES_SQL, MIX_SQL, NEAR_SQL, PHRASES_SQL
 from raceform.session import tune
 
 
@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op3_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents
 
@@ -36,12 +48,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_bottomk_dedup": op3_bottomk_dedup,
     "op5_mixing": op5_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
 }
 
 SQL = {
+    "op1_decontaminate": PHRASES_SQL,
+    "op3_bottomk_dedup": NEAR_SQL,
     "op5_mixing": MIX_SQL,
     "op8_line_dedup": LINES_SQL,
     "op9_chat_format": CHAT_SQL,
