@@ -6,12 +6,13 @@ sets are one class, so copies cost one row each. Inverted lists of retained valu
 * Of the k smallest hashes of a union, those in both sets are retained by both sketches. With a similarity of
   0.75 or more, fewer than ``least_shared`` of them occur in less than one pair in 1e9 (binomial tail). Below k
   hashes in the union the count is exact.
-* So two linked classes share ``least_shared`` values, and therefore one of the rarest ``held - least_shared + 1`` of
-  each. Only those are listed, under value and size class; a value that everybody holds is the last resort.
-* In each list, every member is compared with a hub, not with every other. Links of a round are joined to
-  components; lists whose members are not yet one component go on without their old hubs, with four times as
-  many new ones. Lists end when one component or no member is left, so no pair is missed and near-copies
-  cost one comparison each.
+* So two linked classes share ``least_shared`` values, and therefore one of the rarest ``held - least_shared + 1`` that
+  each has in common with others. Classes with too few common values have no partner. Narrow sketches sort those
+  out; the rest get wide ones, whose rarest values are listed under value and size class.
+* In each list, every member is compared with a hub, not with every other: the member whose values most others
+  hold, which in a family of edited copies is the original. Links of a round are joined to components; lists
+  whose members are not yet one component go on without their old hubs, with more new ones. Lists
+  end when one component or no member is left, so no pair is missed and near-copies cost one comparison each.
 * The k smallest hashes of the union estimate a pair's similarity; what passes is verified on full sets,
   recomputed from the texts.
 
@@ -35,16 +36,17 @@ from raceform.llm.components import components
 from raceform.llm.shingles import WordHashes, shingle_sets
 from raceform.session import materialize
 
-K = 48
+# Sizes of the sketch that finds classes with a possible partner, and of the one that finds the partners.
+NARROW, WIDE = 48, 512
 MISS = 1e-9
 # Similarity of 0.75 or more, as whole numbers.
 PART, WHOLE = 75, 100
 # Members of one size class differ by a factor of 4/3 at most.
 CLASS_RATIO = 4 / 3
-ROUND_GROWTH = 4
+ROUND_GROWTH = 16
 
 
-def least_shared(k: int = K, miss: float = MISS) -> int:
+def least_shared(k: int, miss: float = MISS) -> int:
     """Largest count such that fewer of k draws at 0.75 hit with probability below ``miss``."""
     total, count = 0.0, 0
     while (total := total + comb(k, count) * 0.75**count * 0.25 ** (k - count)) < miss:
@@ -62,18 +64,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(h))
                 first.append(int((h * (h | np.uint64(1))).sum().view(np.int64)))
                 second.append(int(((h ^ (h >> np.uint64(17))) * np.uint64(0xD6E8FEB86659FD93)).sum().view(np.int64)) if len(h) else 0)
-                sketches.append(found[:K])
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-            flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
+                sketches.append(found[:NARROW])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [zstandard.compress(t, 3) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "body"])
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sets = list(shingle_sets(texts, hashes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary()),
+                 pa.array([s[:WIDE] for s in sets], pa.list_(pa.int64()))], names=["node", "n_shingles", "body", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +99,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _listed(sets: DataFrame, k: int) -> DataFrame:
+    """The sets that can have a partner, with the rarest of their common values: one of them every partner lists too."""
+    entries = sets.select("node", "n_shingles", F.explode("sketch").alias("value"))
+    common = entries.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
+    need = F.least(F.lit(least_shared(k)), F.ceil(F.col("n_shingles") * PART / WHOLE)).cast("int")
+    return (
+        entries.join(common, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("held"))
+        .where(F.size("held") >= need)
+        .withColumn("central", F.aggregate("held", F.lit(0.0), lambda total, v: total + F.log2(v["holders"])))
+        .withColumn("common", F.size("held"))
+        .withColumn("held", F.slice("held", F.lit(1), F.size("held") - need + 1))
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text).
 
@@ -103,31 +122,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     another text count as linked where both lead their class. Rows without doc_id follow a class that has one, else they
     are kept with a null component_id. An empty table gives an empty result; extra columns are not looked at.
     """
-    shared = least_shared()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch array<bigint>"), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch")).where("node is not null")
     classes = materialize(classes, "sketch-classes")
-
-    entries = classes.select("node", "n_shingles", F.explode("sketch").alias("value"))
-    common = entries.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    need = F.least(F.lit(shared), F.ceil(F.col("n_shingles") * PART / WHOLE)).cast("int")
-    listed = (
-        entries.join(common, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("held"))
-        .where(F.size("held") >= need)
-        .withColumn("held", F.slice("held", F.lit(1), F.size("held") - need + 1))
-    )
-    listed = materialize(listed, "sketch-lists")
+    possible = _listed(classes, NARROW).select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(possible, "doc_id", "left_semi")
+    bodies = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(_widen, "node bigint, n_shingles bigint, body binary, sketch array<bigint>")
+    bodies = materialize(bodies.where("n_shingles > 0"), "bodies")
+    sketches = bodies.select("node", "sketch")
+    member = ["node", "n_shingles", "common", "central"]
     step = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(CLASS_RATIO)) + 1e-9)
     lists = (
-        listed.withColumn("size_class", F.explode(F.array(step, step + 1)))
-        .select("node", "size_class", F.explode("held.value").alias("value"))
+        _listed(bodies, WIDE).withColumn("size_class", F.explode(F.array(step, step + 1)))
+        .select(*member, "size_class", F.posexplode("held.value").alias("pos", "value"))
     )
-    bodies = (
-        docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-        .join(listed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    )
-    bodies = materialize(bodies.mapInArrow(_pack, "node bigint, body binary"), "bodies")
-    sketches = materialize(classes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "list-sketches")
+    shared = least_shared(WIDE)
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -139,16 +148,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = materialize(alive, "lists")
     while alive.limit(1).count():
         salted = alive.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(hubs_per_list)), F.lit(hubs_per_list)))
-        hubs = salted.groupBy(*key, "salt").agg(F.min(F.struct(F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("h")).select(*key, "h.*")
-        hubs = materialize(hubs, "hubs")
+        hubs = salted.groupBy(*key, "salt").agg(F.min(F.struct(
+            (-F.col("central")).alias("rest"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n_shingles").alias("hub_n"), (F.col("common") - F.col("pos")).alias("hub_common"))).alias("h"))
+        hubs = materialize(hubs.select(*key, "h.*"), "hubs")
+        # The first value that a pair shares, in the order of rarity, leaves enough common values behind it on both sides.
+        behind = F.least(F.col("common") - F.col("pos"), "hub_common")
+        fits = (
+            (F.col("label") != F.col("hub_label")) & (WHOLE * F.least("n_shingles", "hub_n") >= PART * F.greatest("n_shingles", "hub_n"))
+            & F.when(F.greatest("n_shingles", "hub_n") > WIDE, behind >= shared).otherwise((WHOLE + PART) * behind >= PART * (F.col("n_shingles") + F.col("hub_n")))
+        )
         pairs = (
-            alive.join(hubs, key).where("label != hub_label")
+            alive.join(hubs, key).where(fits)
             .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         )
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
+        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, WIDE)
         both = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
         close = (
             pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
@@ -163,10 +179,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         confirmed = materialize(confirmed.distinct(), "links")
         tried = pairs.join(confirmed, ["a", "b"], "left_anti")
         refused = tried if refused is None else refused.unionByName(tried)
-        links = confirmed if links is None else links.unionByName(confirmed)
-        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if labels is None or confirmed.limit(1).count():
+            links = confirmed if links is None else links.unionByName(confirmed)
+            labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         alive = (
-            alive.select("node", *key).join(hubs.select(F.col("hub").alias("node"), *key), ["node", *key], "left_anti")
+            alive.select(*member, "pos", *key).join(hubs.select(F.col("hub").alias("node"), *key), ["node", *key], "left_anti")
             .join(labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         )
         open_lists = alive.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key)
