@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceform.llm import bottomk, chat, decontaminate, line_runs, mixing, suffix_dedup, toxicity
-from raceform.llm.sql import CHAT_SQL, LINES_SQL, MIX_SQL, NEAR_SQL, PHRASES_SQL
+from raceform.llm import bottomk, chat, decontaminate, hamming, line_runs, masked_lm, mixing, suffix_dedup, surrogates, toxicity
+from raceform.llm.sql import CHAT_SQL, LINES_SQL, MIX_SQL, NEAREST_SQL, NEAR_SQL, PHRASES_SQL
 from raceform.session import tune
 
 
@@ -22,6 +22,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("replaced").alias("text"), "n_mentions")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,14 +68,22 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return hamming.nearest(codes, codes.where(F.col("id") % 50 == 0))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_masked_lm": op2_masked_lm,
     "op3_bottomk_dedup": op3_bottomk_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_surrogates": op7_surrogates,
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_hamming_topk": op10_hamming_topk,
 }
 
 SQL = {
@@ -75,4 +92,5 @@ SQL = {
     "op5_mixing": MIX_SQL,
     "op8_line_dedup": LINES_SQL,
     "op9_chat_format": CHAT_SQL,
+    "op10_hamming_topk": NEAREST_SQL,
 }

@@ -81,3 +81,11 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l
 SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
 """
+
+NEAREST_SQL = r"""
+WITH e AS (SELECT vec_id, [x > 0 FOR x IN embedding] AS bits FROM embeddings),
+d AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, CAST(list_sum([CAST(p[1] <> p[2] AS INT) FOR p IN list_zip(q.bits, e.bits)]) AS BIGINT) AS distance
+  FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS place FROM d) WHERE place <= 10
+"""
