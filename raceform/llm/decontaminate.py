@@ -28,7 +28,8 @@ PHRASE_WORDS = 10
 SHARD_WORDS = 400_000
 BLOCK_BYTES = 16 << 20
 GAP = 1
-WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Words in texts whose capitals still stand.
+WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 # Bytes of words as they are, capitals lower-cased, all others to spaces.
 PLAIN = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
