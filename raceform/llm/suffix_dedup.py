@@ -42,7 +42,9 @@ CHUNK = 1 << 17
 POSITION_BITS = 18
 FIRST_DOC = -(2**63)
 POLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-LEVEL = 3
+LEVEL = 6
+# Anchors are counted by so many of their bits; chance agreements cost work, not correctness.
+COUNTED_BITS = 48
 
 
 def _anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +92,19 @@ def _runs(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, last, value[first]
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """A packed array, as differences."""
+    return zstandard.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes(), LEVEL)
+
+
+def _unsqueeze(blob: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(blob), kind), dtype=kind)
+
+
+def _counted(values: np.ndarray) -> np.ndarray:
+    return values >> np.uint64(64 - COUNTED_BITS)
+
+
 def _concatenated(texts: list[bytes]) -> bytes:
     return b"\0".join(texts) + b"\0"
 
@@ -108,10 +123,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, order = order[:taken], order[taken:]
             body = _concatenated([texts[i] for i in mine])
             sizes = np.array([len(texts[i]) for i in mine], np.int64)
-            values = np.unique(_runs(np.frombuffer(body, np.uint8), sizes)[2])
+            values = np.unique(_counted(_runs(np.frombuffer(body, np.uint8), sizes)[2]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + number], pa.int64()), pa.array([[docs[i] for i in mine]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([zstandard.compress(body, LEVEL)], pa.binary()), pa.array([len(values)], pa.int64()), pa.array([values.tobytes()], pa.binary())],
+                 pa.array([zstandard.compress(body, LEVEL)], pa.binary()), pa.array([len(values)], pa.int64()), pa.array([_squeeze(values)], pa.binary())],
                 names=["shard", "docs", "sizes", "body", "n_anchors", "anchors"])
             number += 1
 
@@ -120,14 +135,14 @@ def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
-                values = np.frombuffer(blob, np.uint64)
+                values = _unsqueeze(blob, np.uint64)
                 bucket = (values % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 values, bucket = values[order], bucket[order]
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
                 parts = np.split(values, cuts[1:]) if len(cuts) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts], pa.int64()), pa.array([shard] * len(cuts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                    [pa.array(bucket[cuts], pa.int64()), pa.array([shard] * len(cuts), pa.int64()), pa.array([_squeeze(p) for p in parts], pa.binary())],
                     names=["bucket", "shard", "anchors"])
 
     return run
@@ -136,20 +151,19 @@ def _deal(buckets: int):
 def _count(table: pa.Table) -> pa.Table:
     """Anchors of one bucket to, for each shard, those that other shards have too, and of these those in very many."""
     shards = table.column("shard").to_pylist()
-    parts = [np.frombuffer(b, np.uint64) for b in table.column("anchors").to_pylist()]
+    parts = [_unsqueeze(b, np.uint64) for b in table.column("anchors").to_pylist()]
     known, counts = np.unique(np.concatenate(parts), return_counts=True)
     shared, hot = known[counts > 1], known[counts > HOT_SHARDS]
-    rows = [(s, np.intersect1d(p, shared, assume_unique=True).tobytes(), np.intersect1d(p, hot, assume_unique=True).tobytes()) for s, p in zip(shards, parts, strict=True)]
-    rows = [r for r in rows if r[1]]
+    rows = [(s, _squeeze(np.intersect1d(p, shared, assume_unique=True)), _squeeze(np.intersect1d(p, hot, assume_unique=True))) for s, p in zip(shards, parts, strict=True)]
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _is_in(values: np.ndarray, blobs: list[bytes] | None) -> np.ndarray:
-    known = np.frombuffer(b"".join(blobs or []), np.uint64)
-    return np.isin(values, known)
+    known = [_unsqueeze(b, np.uint64) for b in blobs or []]
+    return np.isin(_counted(values), np.concatenate([np.empty(0, np.uint64), *known]))
 
 
-# A shard's strings for one bucket: numbers as packed arrays, bytes compressed.
+# A shard's strings for one bucket: packed numbers, compressed bytes. What a shard has found itself travels along.
 SENT = "bucket bigint, shard bigint, doc binary, start binary, size binary, anchor binary, body binary, found binary"
 
 
@@ -201,12 +215,12 @@ def _send_shard(row: dict, buckets: int) -> pa.RecordBatch:
     low, high, anchor, bucket = low[order], high[order], anchor[order], bucket[order]
     doc = docs[np.searchsorted(begins, low, "right") - 1]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    ends = np.append(cuts[1:], len(bucket))
-    out = [(-1, row["shard"], b"", b"", b"", b"", b"", found.astype(np.int64).tobytes())] if found.shape[1] else []
+    ends = np.append(cuts, len(bucket))[1:]
+    out = [(row["shard"] % buckets, row["shard"], None, None, None, None, None, found.astype(np.int64).tobytes())] if found.shape[1] else []
     for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
         texts = b"".join([body[x : y + LENGTH - 1] for x, y in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)])
-        out.append((int(bucket[a]), row["shard"], doc[a:b].tobytes(), low[a:b].astype(np.int64).tobytes(), (high[a:b] - low[a:b]).astype(np.int64).tobytes(),
-                    anchor[a:b].tobytes(), zstandard.compress(texts, 1), b""))
+        out.append((int(bucket[a]), row["shard"], _squeeze(doc[a:b]), _squeeze(low[a:b]), zstandard.compress((high[a:b] - low[a:b]).astype(np.uint8).tobytes(), LEVEL),
+                    (anchor[a:b] >> np.uint64(32)).astype(np.uint32).tobytes(), zstandard.compress(texts, LEVEL), None))
     kinds = [pa.int64()] * 2 + [pa.binary()] * 6
     names = ["bucket", "shard", "doc", "start", "size", "anchor", "body", "found"]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
@@ -220,10 +234,15 @@ def _text_hash(text: bytes) -> np.uint64:
 
 def _sort(table: pa.Table) -> pa.Table:
     """One bucket: which of its strings start earlier in another run or another shard."""
-    rows = table.select(["shard", "doc", "start", "size", "anchor", "body"]).to_pylist()
-    shard = np.concatenate([np.full(len(r["doc"]) // 8, r["shard"], np.int64) for r in rows])
-    doc, start, size = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("doc", "start", "size"))
-    anchor = np.concatenate([np.frombuffer(r["anchor"], np.uint64) for r in rows])
+    every = table.select(["shard", "doc", "start", "size", "anchor", "body", "found"]).to_pylist()
+    rows = [r for r in every if r["body"] is not None]
+    told = [(r["shard"], r["found"]) for r in every if r["body"] is None]
+    none = np.empty(0, np.int64)
+    doc, start = (np.concatenate([none, *(_unsqueeze(r[c], np.int64) for r in rows)]) for c in ("doc", "start"))
+    sizes = [np.frombuffer(zstandard.decompress(r["size"]), np.uint8) for r in rows]
+    size = np.concatenate([none, *sizes])
+    shard = np.concatenate([none, *(np.full(len(s), r["shard"]) for s, r in zip(sizes, rows, strict=True))])
+    anchor = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r["anchor"], np.uint32) for r in rows)])
     body = b"".join(zstandard.decompress(r["body"]) for r in rows)
     end = np.cumsum(size + LENGTH - 1)
     begin = end - size - LENGTH + 1
@@ -257,7 +276,8 @@ def _sort(table: pa.Table) -> pa.Table:
     joined = _join(out)
     shards, cuts = np.unique(joined[0], return_index=True)
     parts = np.split(joined[1:], cuts[1:], axis=1) if len(cuts) else []
-    return pa.table({"shard": pa.array(shards, pa.int64()), "found": pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())})
+    told += [(s, np.ascontiguousarray(p).tobytes()) for s, p in zip(shards.tolist(), parts, strict=True)]
+    return pa.table({"shard": pa.array([t[0] for t in told], pa.int64()), "found": pa.array([t[1] for t in told], pa.binary())})
 
 
 def _join(spans: np.ndarray) -> np.ndarray:
@@ -318,7 +338,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     counted = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "shard bigint, shared binary, hot binary")
     counted = counted.groupBy("shard").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
     texts = shards.select("shard", "docs", "sizes", "body")
-    sent = materialize(texts.join(counted, "shard", "left").mapInArrow(_send(buckets), SENT), "runs")
-    told = sent.where("bucket >= 0").drop("found").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort, "shard bigint, found binary")
-    told = told.unionByName(sent.where("bucket < 0").select("shard", "found")).groupBy("shard").agg(F.collect_list("found").alias("found"))
+    sent = texts.join(counted, "shard", "left").mapInArrow(_send(buckets), SENT)
+    told = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort, "shard bigint, found binary")
+    told = told.groupBy("shard").agg(F.collect_list("found").alias("found"))
     return texts.join(told, "shard", "left").mapInArrow(_remove, f"doc_id bigint, n_bytes bigint, removed {SPANS}, kept binary")
