@@ -42,7 +42,7 @@ KEY = b"raceform"
 MAX_DRAWS = 64
 
 WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"
-GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+GENDER = {form: g for g, titles in TITLES.items() for t in titles for form in (t, t.upper())}
 GIVEN_GENDER = {n: g for g, names in GIVEN.items() for n in names}
 NUMBERS = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
