@@ -54,9 +54,9 @@ def _with_total(df: DataFrame, prefix: str, round_total: bool) -> DataFrame:
 
 
 def race_deviation(df: DataFrame, race: str = "race_id", columns: Sequence[str] = ("p1", "p2", "p3", "top3", "expected")) -> DataFrame:
-    """Scores within each race; a single runner or an even field scores null."""
+    """Scores within each race; a single runner, an even field or a row without race scores null."""
     stats = df.groupBy(race).agg(*_sums(columns))
-    scored = df.join(stats, race).select(*df.columns, *_scores(columns, "dev_"))
+    scored = df.join(stats, race, "left").select(*df.columns, *_scores(columns, "dev_"))
     return _with_total(scored, "dev_", round_total=True)
 
 
@@ -67,7 +67,8 @@ def history_deviation(
     """Scores of each race against the same group (round, class) in all history before the race's day.
 
     The group of a race is the history of earlier days plus the race's own rows. History is
-    summed per (group, day); a running sum over that calendar-bounded table serves every race.
+    summed per (group, day); a running sum over that calendar-bounded table serves every race. Entries without race, group or day
+    score null.
     """
     prefix = prefix or f"dev_{by}_"
     sums = _sums(columns)
@@ -83,20 +84,20 @@ def history_deviation(
     stats = own.join(running, [by, date]).select(
         race, by, date, *[(F.col(c) + F.coalesce(F.col(f"h{c}"), F.lit(0))).alias(c) for c in names]
     )
-    scored = entries.join(stats, [race, by, date]).select(*entries.columns, *_scores(columns, prefix))
+    scored = entries.join(stats, [race, by, date], "left").select(*entries.columns, *_scores(columns, prefix))
     return _with_total(scored, prefix, round_total=False)
 
 
 def population_score(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
-    """``int(10 * z + 50)`` with the population standard deviation; null where the group does not vary."""
+    """``int(10 * z + 50)`` with the population standard deviation; null where the group does not vary or is null."""
     stats = df.groupBy(*by).agg(*_sums([column]))
     z = F.try_divide(F.col(column) - _mean(column), F.nullif(_sd(column, 0), F.lit(0.0)))
-    return df.join(stats, list(by)).select(*df.columns, (z * 10 + 50).cast("bigint").alias(name))
+    return df.join(stats, list(by), "left").select(*df.columns, (z * 10 + 50).cast("bigint").alias(name))
 
 
 def sample_scale(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
-    """Sample z-score; 0 where the group does not vary, null for a single row."""
+    """Sample z-score; 0 where the group does not vary, null for a single row or a null group."""
     stats = df.groupBy(*by).agg(*_sums([column]))
     sd = _sd(column, 1)
     z = F.when(sd == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(column) - _mean(column), sd))
-    return df.join(stats, list(by)).select(*df.columns, z.alias(name))
+    return df.join(stats, list(by), "left").select(*df.columns, z.alias(name))

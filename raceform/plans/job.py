@@ -18,7 +18,8 @@ def run(
 ) -> Trained:
     ingest(pages, candidates, f"{base}/raw_race", f"{base}/url_collected", parsed_at)
     raw = tables.parquet_or_empty(spark, f"{base}/raw_race", RAW_RACE)
-    sinks.replace(modelling_table(raw, since), f"{base}/dm_race", ["year"])
+    # The number a horse wears keys its row: codes of horses are fitted anew by each run.
+    sinks.upsert(modelling_table(raw, since), f"{base}/dm_race", ["race_id", "horse_number"], ["year"])
     dm = spark.read.parquet(f"{base}/dm_race")
     trained = train(dm, first_year, last_year, rounds=rounds, min_rows=min_rows)
     ml.save_model(trained.model, f"{base}/model")

@@ -36,6 +36,20 @@ def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer.parquet(path)
 
 
+def upsert(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str]) -> None:
+    """Rows of ``df`` take the place of rows with the same keys; all other rows stay. Only folders that ``df`` touches are rewritten.
+
+    Both sides are stored first, since the table is read and overwritten. Rows with a null key are never replaced.
+    """
+    from raceform.session import materialize
+    from raceform.sources.tables import parquet_or_empty
+
+    new = materialize(df, "upsert-new")
+    held = parquet_or_empty(df.sparkSession, path, new.schema)
+    held = held.join(new.select(*partition_by).distinct(), list(partition_by), "left_semi").join(new.select(*keys), list(keys), "left_anti")
+    replace(materialize(held.select(*new.columns).unionByName(new), "upsert"), path, partition_by)
+
+
 def race_results(df: DataFrame, path: str, race: str = "race_id", partition_by: str = "date", tie: Sequence[str] = ()) -> None:
     """Report rows as Parquet and CSV, one folder per day, rows of a race next to each other.
 

@@ -96,3 +96,12 @@ def test_partitioned_writes_do_not_scatter_small_files(spark, tmp_path):
     sinks.append(df, str(tmp_path / "t"), ["p"])
     files = [f for d in (tmp_path / "t").iterdir() if d.is_dir() for f in d.glob("*.parquet")]
     assert len(files) == 5 and spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
+def test_upsert_keeps_rows_of_earlier_runs(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "race_id string, n int, x int, year int")
+    path = f"{tmp_path}/dm"
+    sinks.upsert(table([("a", 1, 1, 2000), ("b", 1, 2, 2001), ("b", None, 3, 2001)]), path, ["race_id", "n"], ["year"])
+    sinks.upsert(table([("b", 1, 5, 2001), ("c", 1, 6, 2001)]), path, ["race_id", "n"], ["year"])
+    got = {tuple(r) for r in spark.read.parquet(path).select("race_id", "n", "x", "year").collect()}
+    assert got == {("a", 1, 1, 2000), ("b", None, 3, 2001), ("b", 1, 5, 2001), ("c", 1, 6, 2001)}

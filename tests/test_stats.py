@@ -64,3 +64,9 @@ def test_win_rates(spark):
     assert rate == {"j": pytest.approx(2 / 3), "k": None, None: None}
     before = {(r["jockey"], r["date"]): r["jockey_win_rate"] for r in stats.with_win_rate_before(df, "jockey", "date", "rank").collect()}
     assert before[("j", 1)] is None and before[("j", 2)] == 1.0 and before[("j", 3)] == pytest.approx(2 / 3)
+
+
+def test_rows_without_group_stay_and_score_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], "g string, x double")
+    assert {(r.x, r.s) for r in deviation.population_score(df, "x", ["g"], "s").collect()} == {(1.0, 40), (3.0, 60), (2.0, None)}
+    assert deviation.sample_scale(df, "x", ["g"], "s").where("g is null").first()["s"] is None
