@@ -37,7 +37,8 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 4 << 20
 BUCKET_ANCHORS = 300_000
-HOT_SHARDS = 64
+# So many shards' runs of one anchor are some MB, which one bucket holds.
+HOT_SHARDS = 4096
 CHUNK = 1 << 17
 POSITION_BITS = 18
 FIRST_DOC = -(2**63)
