@@ -6,10 +6,10 @@ one with the smallest hash (the leftmost of equals) is its anchor, and equal str
 strings mostly share an anchor, so a shard's strings come as runs: an anchor with some bytes around it.
 
 1. Documents are packed into shards, compressed, and stored with the anchors of their runs.
-2. Anchors are dealt by hash and counted: which occur in several shards, which in very many.
+2. Anchors are dealt by hash and counted: which occur in several shards, which have more different runs than a bucket should hold.
 3. Each shard looks at its runs with such anchors or with anchors repeated inside it. Of runs with equal bytes all but
    the earliest are repeats as a whole and end here; the earliest is sent to the bucket of its anchor. Runs of anchors
-   in very many shards are sent string by string, each to the bucket of its own bytes, so that no bucket is hot.
+   with too many are sent string by string, each to the bucket of its own bytes, so that no bucket is hot.
 4. A bucket again settles runs with equal bytes, sorts the strings of the rest as suffixes of their concatenation
    (`suffix_sort.deep_shallow`), and tells the shards which strings start earlier elsewhere.
 5. Each shard removes what repeated strings cover.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,9 +37,9 @@ LENGTH = 100
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 4 << 20
-BUCKET_ANCHORS = 300_000
-# So many shards' runs of one anchor are some MB, which one bucket holds.
-HOT_SHARDS = 4096
+BUCKET_RUNS = 300_000
+# A bucket is dealt whole anchors, so that one anchor may have a sixth of its runs at most.
+HOT_RUNS = BUCKET_RUNS // 6
 CHUNK = 1 << 17
 POSITION_BITS = 18
 FIRST_DOC = -(2**63)
@@ -106,6 +107,18 @@ def _counted(values: np.ndarray) -> np.ndarray:
     return values >> np.uint64(64 - COUNTED_BITS)
 
 
+def _held(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counted anchors of a shard, sorted, and for each how many of its runs differ."""
+    first, last, value = _runs(np.frombuffer(body, np.uint8), sizes)
+    values, number, counts = np.unique(_counted(value), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(counts[number] > 1)
+    spans = zip(number[several].tolist(), first[several].tolist(), last[several].tolist(), strict=True)
+    different = {(n, xxhash.xxh3_128_digest(body[a : b + LENGTH - 1])) for n, a, b in spans}
+    counts[counts > 1] = 0
+    np.add.at(counts, np.array([n for n, _ in different], np.int64), 1)
+    return values, counts.astype(np.uint32)
+
+
 def _concatenated(texts: list[bytes]) -> bytes:
     return b"\0".join(texts) + b"\0"
 
@@ -124,37 +137,38 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, order = order[:taken], order[taken:]
             body = _concatenated([texts[i] for i in mine])
             sizes = np.array([len(texts[i]) for i in mine], np.int64)
-            values = np.unique(_counted(_runs(np.frombuffer(body, np.uint8), sizes)[2]))
+            values, counts = _held(body, sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + number], pa.int64()), pa.array([[docs[i] for i in mine]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([zstandard.compress(body, LEVEL)], pa.binary()), pa.array([len(values)], pa.int64()), pa.array([_squeeze(values)], pa.binary())],
-                names=["shard", "docs", "sizes", "body", "n_anchors", "anchors"])
+                 pa.array([zstandard.compress(body, LEVEL)], pa.binary()), pa.array([int(counts.sum())], pa.int64()), pa.array([_squeeze(values)], pa.binary()), pa.array([_squeeze(counts)], pa.binary())],
+                names=["shard", "docs", "sizes", "body", "n_runs", "anchors", "runs"])
             number += 1
 
 
 def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
-                values = _unsqueeze(blob, np.uint64)
+            for shard, blob, runs in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchors", "runs")), strict=True):
+                values, counts = _unsqueeze(blob, np.uint64), _unsqueeze(runs, np.uint32)
                 bucket = (values % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                values, bucket = values[order], bucket[order]
+                values, counts, bucket = values[order], counts[order], bucket[order]
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-                parts = np.split(values, cuts[1:]) if len(cuts) else []
+                parts, sums = (np.split(x, cuts[1:]) if len(cuts) else [] for x in (values, counts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts], pa.int64()), pa.array([shard] * len(cuts), pa.int64()), pa.array([_squeeze(p) for p in parts], pa.binary())],
-                    names=["bucket", "shard", "anchors"])
+                    [pa.array(bucket[cuts], pa.int64()), pa.array([shard] * len(cuts), pa.int64()), pa.array([_squeeze(p) for p in parts], pa.binary()), pa.array([_squeeze(p) for p in sums], pa.binary())],
+                    names=["bucket", "shard", "anchors", "runs"])
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Anchors of one bucket to, for each shard, those that other shards have too, and of these those in very many."""
+    """Anchors of one bucket to, for each shard, those that other shards have too, and those with too many runs."""
     shards = table.column("shard").to_pylist()
     parts = [_unsqueeze(b, np.uint64) for b in table.column("anchors").to_pylist()]
-    known, counts = np.unique(np.concatenate(parts), return_counts=True)
-    shared, hot = known[counts > 1], known[counts > HOT_SHARDS]
+    runs = np.concatenate([_unsqueeze(b, np.uint32) for b in table.column("runs").to_pylist()])
+    known, number, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    shared, hot = known[counts > 1], known[np.bincount(number, runs, len(known)) > HOT_RUNS]
     rows = [(s, _squeeze(np.intersect1d(p, shared, assume_unique=True)), _squeeze(np.intersect1d(p, hot, assume_unique=True))) for s, p in zip(shards, parts, strict=True)]
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -228,8 +242,6 @@ def _send_shard(row: dict, buckets: int) -> pa.RecordBatch:
 
 
 def _text_hash(text: bytes) -> np.uint64:
-    import xxhash
-
     return np.uint64(xxhash.xxh64_intdigest(text))
 
 
@@ -331,11 +343,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are not looked at.
     """
     spark = docs.sparkSession
-    shards = docs.select("doc_id", "text").mapInArrow(_pack, "shard bigint, docs array<bigint>, sizes array<bigint>, body binary, n_anchors bigint, anchors binary")
+    shards = docs.select("doc_id", "text").mapInArrow(_pack, "shard bigint, docs array<bigint>, sizes array<bigint>, body binary, n_runs bigint, anchors binary, runs binary")
     shards = materialize(shards, "shards")
-    total = shards.agg(F.coalesce(F.sum("n_anchors"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ANCHORS))
-    dealt = shards.select("shard", "anchors").mapInArrow(_deal(buckets), "bucket bigint, shard bigint, anchors binary")
+    total = shards.agg(F.coalesce(F.sum("n_runs"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_RUNS))
+    dealt = shards.select("shard", "anchors", "runs").mapInArrow(_deal(buckets), "bucket bigint, shard bigint, anchors binary, runs binary")
     counted = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "shard bigint, shared binary, hot binary")
     counted = counted.groupBy("shard").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
     texts = shards.select("shard", "docs", "sizes", "body")

@@ -157,11 +157,11 @@ def test_repeated_rows_and_rows_without_id_lose_all_but_one_copy(spark):
     assert sorted((r.doc_id or 0, len(r.kept)) for r in out) == [(0, 300), (1, 0), (1, 0), (2, 0)]
 
 
-@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("hot", [10_000, 6, 1])
 def test_steps_of_repeat_removal_with_hot_anchors(monkeypatch, hot):
     import pyarrow as pa
 
-    monkeypatch.setattr(suffix_dedup, "HOT_SHARDS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1500)
     monkeypatch.setattr(suffix_dedup, "TaskContext", type("T", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
     rows = [(d, t) for d, t in {r[0]: r for r in rows_of(70, 4)}.values() if d is not None]
