@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceform.functions.exact import sum_of_squares
+
 ALL = "all"
-SPLIT = 2**20
 
 
 @dataclass(frozen=True)
@@ -23,8 +24,7 @@ class FormSpec:
     """Which statistics to build over the last N rows (or ``"all"``).
 
     ``metrics`` maps each column to its number of decimals. Sums are kept as whole numbers
-    of that unit, so they do not depend on the order rows arrive in. A metric with ``std`` may
-    reach 3e9 units per value; beyond that the square raises an overflow error.
+    of that unit, so they do not depend on the order rows arrive in.
     """
 
     metrics: Mapping[str, int]
@@ -65,7 +65,10 @@ def form_table(points: DataFrame, history: DataFrame, key: str, date: str, order
     )
     whole_day = [F.count(F.lit(1)).alias("_rows")]
     if ALL in spec.windows:
-        whole_day += [F.expr(f"{_wide(a, n)} AS `_day_{n}`") for m in metrics for n, a in _aggregates(m, spec).items()]
+        whole_day += [
+            (sum_of_squares(F.col(f"_m_{m}")) if n.startswith("q_") else F.expr(a)).alias(f"_day_{n}")
+            for m in metrics for n, a in _aggregates(m, spec).items()
+        ]
     # Both sides come out of a shuffle on (key, date); their join and everything up to the
     # shuffle on key moves no rows again. At most `depth` rows per key and day remain.
     daily = units.groupBy(key, date).agg(*whole_day).withColumn("_rn", F.lit(1))
@@ -107,35 +110,16 @@ def form_table(points: DataFrame, history: DataFrame, key: str, date: str, order
 
 
 def _aggregates(m: str, spec: FormSpec) -> dict[str, str]:
-    """Mergeable parts of a metric's statistics, over the unit column ``_m_<metric>``."""
+    """Mergeable parts of a metric's statistics, over the unit column ``_m_<metric>``. Squares are decimals, which hold any of them."""
     u = f"`_m_{m}`"
     parts = {f"n_{m}": f"count({u})", f"s_{m}": f"sum({u})"}
     if m in spec.std:
-        parts[f"q_{m}"] = f"sum({u} * {u})"
+        parts[f"q_{m}"] = f"sum(CAST({u} AS DECIMAL(19,0)) * CAST({u} AS DECIMAL(19,0)))"
     if m in spec.max:
         parts[f"x_{m}"] = f"max({u})"
     return parts
 
 
-def _running(aggregate: str, name: str, n: int | str) -> str:
-    """Squares over an unlimited frame are summed as decimals."""
-    if n == ALL and name.startswith("q_"):
-        return f"sum(CAST({aggregate[len('sum('):-1]} AS DECIMAL(19,0)))"
-    return aggregate
-
-
-def _wide(aggregate: str, name: str) -> str:
-    """Day-level form of an aggregate: squares are summed in two whole-number parts, then widened.
-
-    Whole-number sums are much cheaper than decimal ones and a day's parts do not overflow;
-    the running sum over days is decimal.
-    """
-    if not name.startswith("q_"):
-        return aggregate
-    square = aggregate[len("sum("):-1]
-    return f"CAST(sum(({square}) div {SPLIT}) AS DECIMAL(28,0)) * {SPLIT} + sum(({square}) % {SPLIT})"
-
-
 def _statistics(m: str, d: int, n: int | str, part: Callable[[str], str], spec: FormSpec) -> list[Column]:
     total, count = part(f"s_{m}"), part(f"n_{m}")
     formulas = {}
@@ -173,7 +157,7 @@ def rolling_form(history: DataFrame, key: str, date: str, spec: FormSpec) -> Dat
         for m, d in metrics.items():
             # count() over an empty frame is 0; the null that "no earlier row" means comes from the row count.
             parts += [
-                F.expr(f"CASE WHEN count(1) {over} > 0 THEN {_running(a, name, n)} {over} END AS `_{n}_{name}`")
+                F.expr(f"CASE WHEN count(1) {over} > 0 THEN {a} {over} END AS `_{n}_{name}`")
                 for name, a in _aggregates(m, spec).items()
             ]
             out += _statistics(m, d, n, lambda name, n=n: f"`_{n}_{name}`", spec)

@@ -95,9 +95,11 @@ def forward_fill(
     )
     carried = day_last.select(key, date, *[F.last(f"_day_{c}", True).over(w_key).alias(f"_carry_{c}") for c in columns])
     filled = df.select("*", *[F.last(c, True).over(w_day).alias(f"_in_{c}") for c in columns])
-    out = filled.join(carried, [key, date], "left")
+    # Rows without a date stand at one end of their key and are filled like others.
+    same_day = (filled[key] == carried[key]) & filled[date].eqNullSafe(carried[date])
+    out = filled.join(carried, same_day, "left")
     return out.select(
-        *[F.coalesce(f"_in_{c}", f"_carry_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
+        *[F.coalesce(f"_in_{c}", f"_carry_{c}").alias(c) if c in columns else filled[c] for c in df.columns]
     )
 
 
@@ -191,30 +193,31 @@ def merge_copies(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Data
 
 
 def split_by_date(df: DataFrame, id_col: str, date: str, test_size: float = 0.3) -> DataFrame:
-    """Add ``is_train``: the first ``round(n * (1 - test_size))`` distinct ids in date order.
+    """Add ``is_train``: the first ``round(n * (1 - test_size))`` distinct ids in date order, those without a date last.
 
     Ids are counted per day (a table bounded by the calendar); only ids of the day the cut
     falls on are ranked, by hash, in hash buckets.
     """
     ids = df.groupBy(id_col).agg(F.min(date).alias("_day"))
     # Unpartitioned windows below run over one row per day and over 65,536 buckets at most.
-    w_days = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    w_total = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    in_order = F.col("_day").asc_nulls_last()
+    w_days = Window.orderBy(in_order).rowsBetween(Window.unboundedPreceding, 0)
+    w_total = Window.orderBy(in_order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     days = (
         ids.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
         .select(
-            "_day",
+            F.col("_day").alias("_of_day"),
             (F.sum("_n").over(w_days) - F.col("_n")).alias("_before"),
             F.sum("_n").over(w_days).alias("_through"),
             F.bround(F.sum("_n").over(w_total) * F.lit(1 - test_size)).cast("bigint").alias("_cut"),
         )
     )
-    dated = ids.join(F.broadcast(days), "_day")
+    dated = ids.join(F.broadcast(days), F.col("_day").eqNullSafe(F.col("_of_day")))
     whole = dated.where((F.col("_through") <= F.col("_cut")) | (F.col("_before") >= F.col("_cut"))).select(
         id_col, (F.col("_through") <= F.col("_cut")).alias("is_train")
     )
     cut_day = dated.where((F.col("_before") < F.col("_cut")) & (F.col("_through") > F.col("_cut"))).select(
-        id_col, (F.col("_cut") - F.col("_before")).alias("_take"), F.md5(F.col(id_col).cast("string")).alias("_hash")
+        id_col, (F.col("_cut") - F.col("_before")).alias("_take"), F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("")).alias("_hash")
     ).withColumn("_bucket", F.substring("_hash", 1, 4))
     w_buckets = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -225,4 +228,5 @@ def split_by_date(df: DataFrame, id_col: str, date: str, test_size: float = 0.3)
     ranked = cut_day.withColumn("_in", F.row_number().over(w_in)).join(F.broadcast(starts), "_bucket").select(
         id_col, (F.col("_start") + F.col("_in") <= F.col("_take")).alias("is_train")
     )
-    return df.join(whole.unionByName(ranked), id_col)
+    parts = whole.unionByName(ranked).withColumnRenamed(id_col, "_id")
+    return df.join(parts, F.col(id_col).eqNullSafe(F.col("_id"))).select(*df.columns, "is_train")

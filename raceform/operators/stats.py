@@ -101,9 +101,11 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, probability: str, threshold: float = 0.5) -> DataFrame:
+    """Cells and their shares of the rows that have a label and a score; other rows are in no cell and not in ``total``."""
     hit, positive = F.col(probability) >= threshold, F.col(label) == 1
     cells = {"tp": positive & hit, "fp": ~positive & hit, "tn": ~positive & ~hit, "fn": positive & ~hit}
-    counts = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in cells.items()])
+    scored = df.where(F.col(label).isNotNull() & F.col(probability).isNotNull())
+    counts = scored.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in cells.items()])
     shares = [(F.try_divide(F.col(c).cast("double"), F.col("total").cast("double")) * 100).alias(f"{c}_pct") for c in cells]
     return counts.select("*", *shares)
 
@@ -112,14 +114,14 @@ AUC_BUCKETS = 2**20
 
 
 def roc_auc(df: DataFrame, label: str, probability: str) -> DataFrame:
-    """Exact area under the ROC curve, ties counted half.
+    """Exact area under the ROC curve, ties counted half; rows without label or score are left out.
 
     Rows collapse to one per distinct score; scores are ranked inside probability buckets, and
     only the bucket totals (2**20 at most) pass through one ordered window.
     """
     p = F.col(probability)
     scores = (
-        df.groupBy(p.alias("_p"))
+        df.where(p.isNotNull() & F.col(label).isNotNull()).groupBy(p.alias("_p"))
         .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
         .withColumn("_bucket", F.floor(F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(1.0)) * AUC_BUCKETS))
     )
@@ -139,7 +141,7 @@ def count_rows(df: DataFrame) -> DataFrame:
 
 
 def standardise(df: DataFrame, columns: Mapping[str, int], by: Sequence[str], drop: bool = True, prefix: str = "std_") -> DataFrame:
-    """Population z-score per group for a list of columns; null where the group does not vary."""
+    """Population z-score per group for a list of columns; null where the group does not vary or is null."""
     aggs, out = [], []
     for c, decimals in columns.items():
         u = units(F.col(c), decimals)
@@ -150,4 +152,4 @@ def standardise(df: DataFrame, columns: Mapping[str, int], by: Sequence[str], dr
         out.append(F.try_divide(F.col(c) - F.try_divide(s / unit, n), F.nullif(sd, F.lit(0.0))).alias(prefix + c))
     stats = df.groupBy(*by).agg(*aggs)
     kept = [c for c in df.columns if not (drop and c in columns)]
-    return df.join(stats, list(by)).select(*kept, *out)
+    return df.join(stats, list(by), "left").select(*kept, *out)

@@ -76,3 +76,14 @@ def test_jockey_form_skips_missing_years(spark):
     assert two == {("j", 2015): None, ("j", 2016): 0.1, ("j", 2019): 0.1, ("j", 2021): 0.1, ("j", 2023): 1.0, ("k", 2020): None}
     every = {r["year"]: r["rate"] for r in jockey_form(entries, yearly, pairs, n=ALL).where("jockey_id = 'j'").collect()}
     assert every[2023] == 8 / 35
+
+
+def test_deviations_of_very_large_values(spark):
+    rows = [("a", dt.date(2020, 1, 1 + i), i, 5_000_000_000 + i * 1000) for i in range(9)]
+    df = spark.createDataFrame(rows, "horse string, date date, race int, prize bigint")
+    spec = FormSpec(metrics={"prize": 0}, windows=(3, 7, ALL), std=("prize",))
+    for got in (form_features(df, df, "horse", "date", ["race"], spec), rolling_form(df, "horse", "date", spec)):
+        last = got.where("race = 8").first()
+        for n, k in ((3, 3), (7, 7), (ALL, 8)):
+            # Squares are exact; the difference of two large doubles is not.
+            assert last[f"std_prize_{n}"] == pytest.approx(statistics.stdev(r[3] for r in rows[8 - k : 8]), rel=0.05)

@@ -115,3 +115,16 @@ def test_split_by_date(spark, share):
     train = {i for i, _ in order[: round(len(order) * (1 - share))]}
     assert len(out) == len(rows)
     assert set(out[out.is_train].id) == train and set(out[~out.is_train].id) == {i for i, _ in ids} - train
+
+
+def test_rows_without_date_are_split_and_filled(spark):
+    days = [dt.date(2020, 1, 1), dt.date(2020, 1, 2), None, None]
+    df = spark.createDataFrame([(i, d, i) for i, d in enumerate(days)] + [(None, days[0], 9)], "id int, date date, v int")
+    got = {r["id"]: r["is_train"] for r in ordered.split_by_date(df, "id", "date", 0.4).collect()}
+    assert got == {None: True, 0: True, 1: True, 2: False, 3: False}
+    rows = spark.createDataFrame([("a", days[0], 0, 5), ("a", None, 1, None), ("b", days[0], 0, None), ("b", None, 1, 7)], "k string, d date, o int, v int")
+    filled = {(r["k"], r["o"]): r["v"] for r in ordered.forward_fill(rows, "k", "d", ["o"], ["v"], newest_first=True).collect()}
+    # From the newest back, rows without a date come last.
+    assert filled == {("a", 0): 5, ("a", 1): 5, ("b", 0): None, ("b", 1): 7}
+    first = {(r["k"], r["o"]): r["v"] for r in ordered.forward_fill(rows.withColumn("v", F.when(F.col("d").isNull(), F.lit(4))), "k", "d", ["o"], ["v"]).collect()}
+    assert first == {("a", 0): 4, ("a", 1): 4, ("b", 0): 4, ("b", 1): 4}

@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from raceform.functions.exact import sum_of_squares
 from raceform.operators import deviation, stats
 
 
@@ -70,3 +71,27 @@ def test_rows_without_group_stay_and_score_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], "g string, x double")
     assert {(r.x, r.s) for r in deviation.population_score(df, "x", ["g"], "s").collect()} == {(1.0, 40), (3.0, 60), (2.0, None)}
     assert deviation.sample_scale(df, "x", ["g"], "s").where("g is null").first()["s"] is None
+
+
+def test_time_scores_of_many_rows(spark):
+    df = spark.range(20_000_000).select((60 + F.col("id") % 600 / 10).alias("s"))
+    scored, table = stats.time_scores(df, "s")
+    second = {r["step"]: r for r in table.collect()}["Second Time"]
+    z = [-(i / 10 - 29.95) for i in range(600)]
+    assert abs(second["mean"]) < 1e-6 and second["sd"] == pytest.approx(1, abs=1e-6)
+    assert scored.agg(F.max("run_time")).first()[0] == pytest.approx(max(z) / statistics.pstdev(z), rel=1e-5)
+
+
+def test_squares_of_large_whole_numbers(spark):
+    values = [0, 1, -3_037_000_499, 3_037_000_500, -(2**62), 2**61 + 1, None]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    assert int(df.agg(sum_of_squares(F.col("v"))).first()[0]) == sum(v * v for v in values if v is not None)
+    assert df.where("v is null").agg(sum_of_squares(F.col("v"))).first()[0] is None
+
+
+def test_rows_without_score_or_group(spark):
+    df = spark.createDataFrame([(1, None), (0, 0.3), (1, 0.9), (None, 0.5)], "y int, p double")
+    assert stats.roc_auc(df, "y", "p").first()["auc"] == 1.0
+    assert tuple(stats.confusion(df, "y", "p").first()) == (2, 1, 0, 1, 0, 50.0, 0.0, 50.0, 0.0)
+    groups = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], "g string, v double")
+    assert sorted([tuple(r) for r in stats.standardise(groups, {"v": 0}, ["g"]).collect()], key=str) == sorted([("a", -1.0), ("a", 1.0), (None, None)], key=str)
