@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +23,12 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
-    """Append only rows whose key the table does not hold yet, so a rerun adds nothing."""
+    """Append only rows whose key the table does not hold yet, so a rerun adds nothing; null is a key like others."""
     from raceform.sources.tables import parquet_or_empty
 
-    held = parquet_or_empty(df.sparkSession, path, df.schema)
-    append(df.join(held.select(*keys), list(keys), "left_anti").select(*df.columns), path, partition_by)
+    held = parquet_or_empty(df.sparkSession, path, df.schema).select(*[F.col(k).alias(f"_held_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in keys])
+    append(df.join(held, same, "left_anti").select(*df.columns), path, partition_by)
 
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -16,10 +16,10 @@ def test_absent_tables_are_typed(spark, tmp_path):
 
 
 def test_append_new_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, v string")
     for _ in range(3):
         sinks.append_new(df, str(tmp_path / "t"), ["id"])
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
 
 
 def test_replace_touches_only_given_partitions(spark, tmp_path):
