@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as vocabulary
 
-from raceform.llm import bottomk, chat, decontaminate, hamming, line_runs, masked_lm, mixing, suffix_dedup, surrogates, toxicity
-from raceform.llm.sql import CHAT_SQL, LINES_SQL, MIX_SQL, NEAREST_SQL, NEAR_SQL, PHRASES_SQL
+from raceform.llm import bottomk, chat, decontaminate, divergence, hamming, line_runs, masked_lm, merkle, mixing, packing, suffix_dedup, surrogates, toxicity
+from raceform.llm.sql import CHAT_SQL, DIVERGENCE_SQL, LINES_SQL, MANIFEST_SQL, MIX_SQL, NEAREST_SQL, NEAR_SQL, PHRASES_SQL
 from raceform.session import tune
 
 
@@ -73,6 +74,23 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(codes, codes.where(F.col("id") % 50 == 0))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).pieces
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    longer = F.col("n_chars").cast("decimal(20,0)") + 1
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claim = F.when(altered, merkle.leaf(*[longer if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
+    rows = merkle.manifest(docs, claim=claim).rows
+    return rows.select("doc_id", *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], "verified")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_masked_lm": op2_masked_lm,
@@ -84,6 +102,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_hamming_topk": op10_hamming_topk,
+    "op11_packing": op11_packing,
+    "op12_divergence": op12_divergence,
+    "op13_manifest": op13_manifest,
 }
 
 SQL = {
@@ -93,4 +114,6 @@ SQL = {
     "op8_line_dedup": LINES_SQL,
     "op9_chat_format": CHAT_SQL,
     "op10_hamming_topk": NEAREST_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
+    "op13_manifest": MANIFEST_SQL,
 }

@@ -89,3 +89,67 @@ d AS (
   FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS place FROM d) WHERE place <= 10
 """
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(lang_n) AS BIGINT) AS lang_total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+s AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // (total + v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (lang_n + 1) // (lang_total + v) AS q
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT x.lang, x.source, y.source AS item FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM s AS x JOIN s AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN f USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') AS a, coalesce(strlen(source) || ':' || source, '-') AS b,
+    coalesce(strlen(lang) || ':' || lang, '-') AS c, coalesce(strlen(text) || ':' || text, '-') AS e,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))) AS crc
+  FROM documents),
+h AS (
+  SELECT doc_id, lang, sha256(a || b || c || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || e) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(a || b || c || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || e) END AS claim
+  FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total FROM h),
+nodes(level, lang, pos, total, node) AS (
+  SELECT 0, lang, pos, total, leaf FROM l
+  UNION ALL SELECT level + 1, lang, pos // 2, (total + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE total > 1 GROUP BY level, lang, pos // 2, total),
+subs AS (SELECT lang, level AS height, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS langs FROM nodes WHERE total = 1),
+tops(level, pos, total, node) AS (
+  SELECT 0, place, langs, subroot FROM subs
+  UNION ALL SELECT level + 1, pos // 2, (total + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE total > 1 GROUP BY level, pos // 2, total),
+top AS (SELECT level AS height, node AS root FROM tops WHERE total = 1),
+steps AS (
+  SELECT lang, pos AS own, level AS step, pos >> level AS seat FROM (SELECT l.lang, l.pos, unnest(range(0, height)) AS level FROM l JOIN subs ON l.lang IS NOT DISTINCT FROM subs.lang)),
+low AS (
+  SELECT s.lang, s.own, s.step, s.seat, coalesce(n.node, '') AS beside FROM steps AS s
+  LEFT JOIN nodes AS n ON n.lang IS NOT DISTINCT FROM s.lang AND n.level = s.step AND n.pos = xor(s.seat, 1)),
+high AS (
+  SELECT s.lang, s.height + s.level AS step, s.seat, coalesce(t.node, '') AS beside
+  FROM (SELECT lang, subs.height, unnest(range(0, top.height)) AS level, place >> unnest(range(0, top.height)) AS seat FROM subs, top) AS s
+  LEFT JOIN tops AS t ON t.level = s.level AND t.pos = xor(s.seat, 1)),
+ways AS (
+  SELECT l.lang, l.pos, list(struct_pack(seat := w.seat, beside := w.beside) ORDER BY step) AS way
+  FROM l JOIN (SELECT lang, own, step, seat, beside FROM low UNION ALL SELECT lang, NULL, step, seat, beside FROM high) AS w
+    ON l.lang IS NOT DISTINCT FROM w.lang AND (w.own IS NULL OR w.own = l.pos) GROUP BY l.lang, l.pos),
+folds(lang, pos, step, way, node) AS (
+  SELECT l.lang, l.pos, 0, coalesce(way, []), coalesce(claim, leaf) FROM l LEFT JOIN ways ON l.lang IS NOT DISTINCT FROM ways.lang AND l.pos = ways.pos
+  UNION ALL SELECT lang, pos, step + 1, way, CASE WHEN way[step + 1].seat % 2 = 1 THEN sha256(way[step + 1].beside || node) ELSE sha256(node || way[step + 1].beside) END
+    FROM folds WHERE step < len(way))
+SELECT l.doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x.beside), '')) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+FROM l JOIN folds AS f ON l.lang IS NOT DISTINCT FROM f.lang AND l.pos = f.pos AND f.step = len(f.way) JOIN subs ON subs.lang IS NOT DISTINCT FROM l.lang, top
+"""
