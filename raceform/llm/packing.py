@@ -15,10 +15,12 @@ counts, and the histogram of lengths, which has no more rows than a sequence has
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import ceil
+from struct import pack as pack_ids
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from raceform.session import materialize
 
@@ -34,14 +37,20 @@ END = 1
 PARTITION_PIECES = 1 << 14
 MAX_ROUNDS = 6
 # Words kept with their ids by each worker, and the longest such word.
-KEPT_WORDS, KEPT_CHARS = 1 << 18, 64
+KEPT_WORDS, KEPT_CHARS = 1 << 19, 64
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)").fullmatch
 PIECE_CHARS = 1 << 20
 # Functions u(k) of the bound.
 STEPS = 60
 
 
 class WordIds(dict):
-    """Little-endian ids of words that stand between spaces. The vocabulary drops white space, so a text's ids are those of its words."""
+    """Little-endian ids of words that stand between spaces. The vocabulary drops white space, so a text's ids are those of its words.
+
+    Most words are Latin letters, perhaps with punctuation behind them: those are one unit each, no rule of the vocabulary joins or
+    changes them but lower-casing, and its merges are asked for the unit alone. All others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -50,18 +59,23 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        self.long: list[str] = []
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
-    def learn(self, words: set[str]) -> None:
-        """Ids of new words; the longer ones stay until the next call."""
-        for word in self.long:
-            self.pop(word, None)
-        if len(self) > KEPT_WORDS:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        self.long = [w for w in new if len(w) > KEPT_CHARS]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        if parts := LETTERS_AND_MARKS(word):
+            found = self[parts[1]] + self[parts[2]]
+        elif LETTERS(word):
+            units = self.tokenizer.model.tokenize(word.lower().translate(self.spelling))
+            found = pack_ids(f"<{len(units)}I", *[u.id for u in units])
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = pack_ids(f"<{len(ids)}I", *ids)
+        if len(word) <= KEPT_CHARS:
+            self[word] = found
+        return found
 
     def ids(self, text: str) -> bytes:
         return b"".join(self._parts(text))
@@ -72,12 +86,7 @@ class WordIds(dict):
         while start < len(text):
             end = text.find(" ", start + PIECE_CHARS)
             end = len(text) if end < 0 else end
-            words = text[start:end].split(" ")
-            try:
-                yield b"".join(map(self.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                yield b"".join(map(self.__getitem__, words))
+            yield b"".join(map(self.__getitem__, text[start:end].split(" ")))
             start = end
 
 

@@ -47,7 +47,8 @@ def check_packing(rows, found, capacity):
     return len(sequences)
 
 
-HARD = ["", None, "  \n\t ", "<|endoftext|> a <|startoftext|>", "don't we'll go there\r\nagain", "é ́x ΑΣ ΣΑΣ İ", "a\x1cb\x85c", "日本語のテキスト " * 30, "x" * 3000, "1234 567"]
+HARD = ["", None, "  \n\t ", "<|endoftext|> a <|startoftext|>", "don't we'll go there\r\nagain", "é ́x ΑΣ ΣΑΣ İ", "a\x1cb\x85c", "日本語のテキスト " * 30, "x" * 3000, "1234 567", "Été, ÀÖØöøÿ×÷ ßs; ŠŽ naïVe's end. end!? ...a.b, ªº µ ÿ. ﬁ Ǆ",
+        "'s 's. re' n't 'LL x'll, don’t", "¡Hola! «Là» —x— 1st, 2nd. a1,"]
 
 
 def test_packed_sequences_hold_all_ids(spark):
