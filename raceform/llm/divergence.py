@@ -28,9 +28,10 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 SLICE_TERMS = 1 << 15
 # Distinct terms that a task gathers before it hands them on, and bytes of a text that are split at once.
-HELD_TERMS = 1 << 18
+HELD_TERMS = 1 << 19
 PIECE = 1 << 20
 GALLOP = 1 << 10
+BROADCAST_ROWS = 50_000
 # Letters and bytes of other scripts stay, A-Z lower-cased; all else is space.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -144,6 +145,11 @@ def ranked(rows: DataFrame, top: int | None = None, *more: str) -> DataFrame:
     return rows if top is None else rows.where(F.col("rank") <= top)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Stored rows, to be broadcast if there are few; else Spark joins them by their key."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, slice_terms: int = SLICE_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source of a language differs from each other one (part ``pair``) and from the language (``term``).
 
@@ -163,11 +169,12 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     counts = materialize(counts, "term-counts")
     vocabulary = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     vocabulary = materialize(vocabulary.select("lang", "term", "lang_n"), "terms")
-    of_lang = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    of_lang = small(materialize(vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")), "languages"))
     slices = F.ceil(F.col("kept") / slice_terms).cast("long")
     number = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term"))
-    vocabulary = vocabulary.join(of_lang, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), slices)).withColumn("id", number)
-    entries = counts.select("lang", "source", "term", "n").join(vocabulary.select("lang", "term", "lang_n", "slice", "id"), ["lang", "term"])
+    vocabulary = vocabulary.join(of_lang, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), slices))
+    vocabulary = materialize(vocabulary.repartition("lang", "slice").withColumn("id", number).select("lang", "term", "lang_n", "slice", "id"), "term-ids")
+    entries = counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"])
     entries = materialize(entries, "term-entries")
 
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -190,7 +197,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     pair = priced.unionByName(unpriced.withColumn("value", F.lit(0).cast("long"))).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     p, q = exact_share(F.col("n"), F.col("total"), F.col("kept")), exact_share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-    terms = entries.join(groups, ["lang", "source"]).withColumns({"p": p, "q": q}).where("p > q")
+    terms = entries.join(small(groups), ["lang", "source"]).withColumns({"p": p, "q": q}).where("p > q")
     value = F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q"))
     terms = terms.select("lang", "source", "slice", F.col("term").cast("string").alias("item"), value.alias("value"))
     terms = ranked(ranked(terms, top_terms, "slice").drop("rank", "slice"), top_terms)
