@@ -43,6 +43,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def folders(spark: SparkSession, path: str, depth: int, hidden: bool = False) -> list[str]:
+    """Relative names of the folders ``depth`` levels below ``path``; those that readers skip only if ``hidden``."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return []
+    found = [("", top)]
+    for _ in range(depth):
+        found = [(f"{name}/{s.getPath().getName()}".lstrip("/"), s.getPath()) for name, at in found for s in system.listStatus(at) if s.isDirectory()]
+    return sorted(name for name, _ in found if hidden or not any(part[:1] in "_." for part in name.split("/")))
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def csv_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with an explicit schema; an absent path gives an empty table of that schema."""
     if not path_exists(spark, path):
