@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from raceform.operators.reshape import union_tables
 from raceform.schemas import struct
 from raceform.session import new_path
 from raceform.sources import sinks, tables
+from raceform.sources.keyed import KeyedTable
+from raceform.sources.runs import RunStore
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
 ORDERS_SCHEMA = struct("o_orderkey bigint, o_custkey bigint, o_totalprice double")
@@ -26,6 +30,16 @@ def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
     return tables.updated_since(o, "1998-01-01 00:00:00")
 
 
+@query("S1_pruned_scan", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS update_at FROM orders
+  WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""")
+def pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in folders by the month they arrived; a later scan leaves out the older folders."""
+    path = new_path(spark, "by_arrival")
+    o = t(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("update_at"), F.trunc("o_orderdate", "month").alias("arrived"))
+    sinks.append(o, path, ["arrived"])
+    return tables.updated_since(spark.read.parquet(path), "1998-01-01 00:00:00", partition="arrived").drop("arrived")
+
+
 @query("S2_year_range_scan", """SELECT l_orderkey, l_partkey, l_quantity, CAST(year(l_shipdate) AS INT) AS year FROM lineitem
   WHERE year(l_shipdate) BETWEEN 1996 AND 1998""")
 def year_range_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,8 +51,10 @@ def year_range_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def _exported(spark: SparkSession, sf: str) -> str:
     path = new_path(spark, "export")
-    t(spark, sf, "orders").createOrReplaceTempView("raceform_export")
-    tables.export_columns(spark, "raceform_export", ["o_orderkey", "o_custkey", "o_totalprice"], path)
+    view = f"raceform_export_{uuid4().hex}"
+    t(spark, sf, "orders").createOrReplaceTempView(view)
+    tables.export_columns(spark, view, ["o_orderkey", "o_custkey", "o_totalprice"], path)
+    spark.catalog.dropTempView(view)
     return path
 
 
@@ -64,6 +80,31 @@ def append_new(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(o.schema).parquet(path)
 
 
+@query("S5_keyed_append", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
+  UNION ALL SELECT NULL, 'N', 2""")
+def keyed_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches over a bucketed table; copies inside a batch are one row, the largest, and null is a key."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = KeyedTable(spark, new_path(spark, "keyed"), o.schema, ["o_orderkey"], ["o_orderstatus"])
+    table.append(o.where(F.col("o_orderstatus") != "P"))
+    undated = spark.range(3).select(F.lit(None).cast("bigint").alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("id").cast("double").alias("o_totalprice"))
+    table.append(o.unionByName(o.withColumn("o_totalprice", F.col("o_totalprice") + 1)).unionByName(undated))
+    table.append(o.withColumn("o_totalprice", F.col("o_totalprice") + 9))
+    return table.read()
+
+
+@query("S6_upsert", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM orders""")
+def upsert_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs; rows of the second take the place of those with their keys, in a folder without a name, too."""
+    store = RunStore(spark, new_path(spark, "store"))
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
+    for run, rows in (("first", o), ("second", o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2))):
+        store.upsert("orders", rows, ["o_orderkey"], run, ["status"])
+        store.commit(run)
+    return store.read("orders", o.schema)
+
+
 @query("S6_replace_partitions", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
   o_orderstatus FROM orders""")
 def replace_partitions(spark: SparkSession, sf: str) -> DataFrame:

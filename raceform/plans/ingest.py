@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceform.operators.joins import not_collected
 from raceform.operators.pages import has_results, parse_results
-from raceform.schemas import RAW_RACE, URL_COLLECTED
+from raceform.schemas import RAW_RACE, URL_COLLECTED, struct
 from raceform.session import materialize
-from raceform.sources import sinks, tables
+from raceform.sources.keyed import KeyedTable, by_one_key
 
+RAW_KEYS = ["race_id", "horse", "horse_number"]
+INGESTED = struct("ingest_date date")
 
-def fresh_pages(pages: DataFrame, candidates: DataFrame, collected: DataFrame) -> DataFrame:
+
+def raw_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Raw rows in folders by the day they arrived, one per runner and number."""
+    return KeyedTable(spark, path, type(RAW_RACE)([*RAW_RACE.fields, *INGESTED.fields]), RAW_KEYS, ["ingest_date"])
+
+
+def collected_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, URL_COLLECTED, ["url"])
+
+
+def fresh_pages(pages: DataFrame, candidates: DataFrame, collected: KeyedTable) -> DataFrame:
     """Page texts of candidates that were not collected yet."""
-    wanted = not_collected(candidates, collected)
+    with by_one_key(pages.sparkSession):
+        wanted = materialize(collected.missing(materialize(collected.keyed(candidates), "candidates")).select(*candidates.columns), "wanted")
     return pages.select("url", "html").join(wanted, "url")
 
 
 def ingest(
     pages: DataFrame, candidates: DataFrame, raw_path: str, collected_path: str, parsed_at: Column | None = None
 ) -> DataFrame:
-    """One run; returns the rows it added.
+    """One run; returns the rows it parsed.
 
     Rows are appended before their URLs are logged, and both appends skip keys already held, so a
     run that dies in between can be repeated. Pages without a result table are not logged and
-    are tried again.
+    are tried again. Neither table is read for it but the keys in the buckets of the run's own keys.
     """
     spark = pages.sparkSession
-    collected = tables.parquet_or_empty(spark, collected_path, URL_COLLECTED)
+    collected = collected_table(spark, collected_path)
     todo = materialize(fresh_pages(pages, candidates, collected), "pages")
     rows = materialize(parse_results(todo, parsed_at), "raw")
-    dated = rows.withColumn("ingest_date", F.to_date(F.try_to_timestamp("update_at")))
-    sinks.append_new(dated, raw_path, ["race_id", "horse", "horse_number"], ["ingest_date"])
-    sinks.append_new(todo.where(has_results(F.col("html"))).select("url"), collected_path, ["url"])
+    raw_table(spark, raw_path).append(rows.withColumn("ingest_date", F.to_date(F.try_to_timestamp("update_at"))))
+    collected.append(todo.where(has_results(F.col("html"))).select("url"))
     return rows.select(*RAW_RACE.fieldNames())

@@ -42,15 +42,19 @@ def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 def upsert(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str]) -> None:
     """Rows of ``df`` take the place of rows with the same keys; all other rows stay. Only folders that ``df`` touches are rewritten.
 
-    Both sides are stored first, since the table is read and overwritten. Rows with a null key are never replaced.
+    Null is a key and a folder like others; ``df`` has each key once. Both sides are stored first, since the table is read and
+    overwritten: a plain folder has no older state to go back to, so a job uses ``RunStore.upsert``.
     """
     from raceform.session import materialize
+    from raceform.sources.runs import in_folders, same_row
     from raceform.sources.tables import parquet_or_empty
 
     new = materialize(df, "upsert-new")
-    held = parquet_or_empty(df.sparkSession, path, new.schema)
-    held = held.join(new.select(*partition_by).distinct(), list(partition_by), "left_semi").join(new.select(*keys), list(keys), "left_anti")
-    replace(materialize(held.select(*new.columns).unionByName(new), "upsert"), path, partition_by)
+    touched = [tuple(r) for r in new.select(*partition_by).distinct().collect()]
+    held = parquet_or_empty(df.sparkSession, path, new.schema).where(in_folders(touched, partition_by))
+    renewed = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+    kept = held.join(renewed, same_row(held, renewed, keys, "_new_"), "left_anti")
+    replace(materialize(kept.select(*new.columns).unionByName(new), "upsert"), path, partition_by)
 
 
 def race_results(df: DataFrame, path: str, race: str = "race_id", partition_by: str = "date", tie: Sequence[str] = ()) -> None:

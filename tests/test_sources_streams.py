@@ -105,3 +105,12 @@ def test_upsert_keeps_rows_of_earlier_runs(spark, tmp_path):
     sinks.upsert(table([("b", 1, 5, 2001), ("c", 1, 6, 2001)]), path, ["race_id", "n"], ["year"])
     got = {tuple(r) for r in spark.read.parquet(path).select("race_id", "n", "x", "year").collect()}
     assert got == {("a", 1, 1, 2000), ("b", None, 3, 2001), ("b", 1, 5, 2001), ("c", 1, 6, 2001)}
+
+
+def test_upsert_takes_null_for_a_key_and_a_folder(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "race_id string, n int, x int, year int")
+    path = f"{tmp_path}/dm"
+    for x in (1, 2):
+        sinks.upsert(table([("bad", 1, x, None), ("a", None, x, 2000)] if x == 1 else [("bad", 2, x, None), ("a", None, x, 2000)]), path, ["race_id", "n"], ["year"])
+    got = {tuple(r) for r in spark.read.parquet(path).select("race_id", "n", "x", "year").collect()}
+    assert got == {("bad", 1, 1, None), ("bad", 2, 2, None), ("a", None, 2, 2000)}
