@@ -9,6 +9,8 @@ from raceform.catalog import roles
 from raceform.catalog.registry import query
 from raceform.catalog.roles import t
 from raceform.operators import encode, reshape
+from raceform.session import new_path
+from raceform.sources.runs import RunStore
 
 
 @query("U1_union_history", """SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer
@@ -75,6 +77,28 @@ def label_codes(spark: SparkSession, sf: str) -> DataFrame:
     return encode.apply_labels(o, encode.fit_labels(o, entities), entities)
 
 
+def _batches_sql(column: str, name: str) -> str:
+    """Codes of two batches: values of the first in sort order, null, then the new values of the second in sort order."""
+    return f"""{name}_v AS (SELECT {column} AS value, min(o_orderkey % 2) AS batch FROM o WHERE {column} IS NOT NULL GROUP BY 1),
+      {name}_c AS (SELECT value, row_number() OVER (ORDER BY batch, value) - 1 + batch AS code FROM {name}_v
+        UNION ALL SELECT NULL, count(*) FILTER (batch = 0) FROM {name}_v)"""
+
+
+@query("F6_two_batches", f"""WITH o AS (SELECT *, {_JOCKEY} AS j FROM orders WHERE o_orderkey % 2 = 1 OR o_custkey % 3 = 0), {_batches_sql("j", "jockey")}, {_batches_sql("o_orderpriority", "priority")}
+  SELECT o_orderkey, jockey_c.code AS jockey, priority_c.code AS priority FROM o JOIN jockey_c ON jockey_c.value IS NOT DISTINCT FROM j JOIN priority_c ON priority_c.value = o_orderpriority""")
+def two_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches and one dictionary: what the first fitted never moves, so its rows are coded by the codes it had."""
+    jockey = F.when(F.col("o_orderkey") % 10 > 0, F.concat(F.lit("J"), F.col("o_custkey").cast("string")))
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", jockey.alias("jockey"), F.col("o_orderpriority").alias("priority"))
+    entities, base, out = {"jockey": ["jockey"], "priority": ["priority"]}, new_path(spark, "store"), []
+    for number, rows in enumerate((o.where("o_orderkey % 2 = 0 and o_custkey % 3 = 0"), o.where("o_orderkey % 2 = 1"))):
+        store = RunStore(spark, base)
+        dictionary = encode.extend_labels(store, f"batch-{number}", rows, entities)
+        out.append(encode.apply_labels(rows.drop("o_custkey"), dictionary, entities))
+        store.commit(f"batch-{number}")
+    return out[0].unionByName(out[1])
+
+
 @query("F6_label_codes_null_text", f"""SELECT o_orderkey, dense_rank() OVER (ORDER BY coalesce({_JOCKEY}, 'Na')) - 1 AS jockey FROM orders""")
 def label_codes_null_text(spark: SparkSession, sf: str) -> DataFrame:
     jockey = F.when(F.col("o_orderkey") % 10 > 0, F.concat(F.lit("J"), F.col("o_custkey").cast("string")))

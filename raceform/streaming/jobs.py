@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from raceform.plans import scoring
 from raceform.sources import sinks, tables
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def files(spark: SparkSession, folder: str, name_pattern: str, schema: T.StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name_pattern).parquet(folder)
@@ -61,3 +68,67 @@ def score_requests(
 
     (requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
+
+
+class FirstSeen(StatefulProcessor):
+    """Passes the first row of a key, by ``order`` within a batch, and remembers the key."""
+
+    def __init__(self, order: Sequence[str]):
+        self.order = list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.seen.exists():
+            return
+        first = None
+        for part in rows:
+            part = part if first is None else pd.concat([first, part])
+            first = part.sort_values(self.order, kind="stable").head(1)
+        self.seen.update((True,))
+        yield first
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N802, N803
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def collect_unseen(stream: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, checkpoint: str, seed: DataFrame | None = None) -> None:
+    """Append the first row of every key that neither came before nor is in ``seed``.
+
+    What was seen lives in operator state, on disk and in the checkpoint; ``seed`` is read once, when the stream starts for the first time. No
+    batch reads a table, and the file sink takes each row exactly once, so a restart goes on where the stream stopped. Null keys
+    are keys like others. Each key's rows of a batch pass one at a time, so a hot key holds a chunk of rows and one more.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        known = None if seed is None else seed.select(*keys).distinct().groupBy(*keys)
+        fresh = stream.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=FirstSeen(order), outputStructType=stream.schema, outputMode="Append", timeMode="None", initialState=known)
+        (fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def report_requests(
+    requests: DataFrame, key: str, entries: DataFrame, registry: DataFrame, models: DataFrame, contract: Mapping[str, Sequence[str]],
+    number: str, out: str, checkpoint: str, arrived: str | None = None, again_after: str = "1 day",
+) -> None:
+    """Report rows of the races asked for, as requests arrive: a stream joined with stored entries, scored by the models inside the streaming plan.
+
+    ``entries`` carry their features, segments and ``number`` within the race. A race is reported once; with ``arrived``, the time column of the requests, it is reported again when
+    asked for later than ``again_after``, and the state forgets it after that time. The file sink takes each row exactly once.
+    """
+    if arrived:
+        asked = requests.select(key, F.col(arrived).cast("timestamp").alias("_at")).withWatermark("_at", again_after).dropDuplicatesWithinWatermark([key])
+    else:
+        asked = requests.select(key).dropDuplicates([key])
+    rows = scoring.report_rows(asked.select(key).join(entries, key), registry, models, contract, key, number)
+    (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
