@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from raceform.catalog.registry import query
 from raceform.catalog.roles import CLASS_TEXTS, iso, pick, sql_list, t
 from raceform.operators import pages as pg
+from raceform.plans.form import jockey_years_of_pages
 from raceform.session import materialize
 
 LINK = r'<a href="([^"]*)">([^<]*)</a>'
@@ -164,3 +165,54 @@ def horse_history(spark: SparkSession, sf: str) -> DataFrame:
 def unreadable_pages(spark: SparkSession, sf: str) -> DataFrame:
     _, bad = pg.parse_horse_pages(horse_pages(spark, sf), _known(spark, sf))
     return bad.select("horse_id")
+
+
+_KINDS = list(pg.JOCKEY_KINDS.values())
+
+
+def jockey_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A result table per page with two heading rows, a year per link, a summary row first and a table inside a cell; every sixth page has no year column."""
+    k = F.col("page_id")
+
+    def numbers(i: Column) -> list[Column]:
+        counts = [i + 1, k % 5, F.lit(2), k % 7]
+        for j in range(len(_KINDS)):
+            counts += [i + j + 3, (i + j) % 3]
+        return counts
+
+    def row(year: Column, counts: list[Column], rates: list[str]) -> Column:
+        inner = F.lit("<td>x<TABLE class='t'><tr><th>年度</th><td>9</td></tr></TABLE></td>")
+        tds = [x for c in (F.lit("1"), *counts) for x in (F.lit("<td align=right>"), c.cast("string"), F.lit("</td>\n"))]
+        return F.concat(F.lit("<tr><td>"), year, F.lit("</td>"), *tds, inner, *[F.lit(f"<TD>{r}</TD>") for r in rates], F.lit("</tr>"))
+
+    heads = "".join(f'<th rowspan="2">{h}</th>' for h in ("順位", *pg.JOCKEY_PLACES))
+    kinds = "".join(f'<TH colspan="2">{h}</TH>' for h in pg.JOCKEY_KINDS)
+    tail = "".join(f'<th rowspan=2 class="r">{h}</th>' for h in ("所属", *pg.JOCKEY_RATES))
+    first = F.concat(F.lit("<div><Table class='nk'><thead><tr>"), F.when(k % 6 == 5, F.lit('<th rowspan="2">年</th>')).otherwise(F.lit('<th rowspan="2">年度</th>')),
+                     F.lit(heads + kinds + tail + "</tr><tr>" + "<th>出走</th><th>勝利</th>" * len(_KINDS) + "</tr></thead>"))
+    years = F.transform(_texts(), lambda text, i: row((1990 + i).cast("string"), numbers(i), ["0.1", "0.2", "0.3"]))
+    total = row(F.lit(pg.SUMMARY_YEAR), [F.lit(1)] * (4 + 2 * len(_KINDS)), ["．1", "0.25", "45.5%"])
+    html = F.concat("html", first, total, F.array_join(years, ""), F.lit("</table></div><table><tr><td>1</td></tr></table>"))
+    # The pages hold no tables of their own.
+    return materialize(t(spark, sf, "pages").select(F.concat(F.lit("j"), k.cast("string")).alias("jockey_id"), F.regexp_replace(html, r"(?i)^<!doctype[^>]*>", "").alias("html")), "jockey-pages")
+
+
+def _jockey_sql() -> str:
+    kinds = ", ".join(f"i + {j} + 3 AS {n}_starts, (i + {j}) % 3 AS {n}_wins" for j, n in enumerate(_KINDS))
+    return f"""WITH {LINKS} SELECT concat('j', k) AS jockey_id, CAST(1990 + i AS INT) AS year, i + 1 AS first, k % 5 AS second, 2 AS third, k % 7 AS other, {kinds},
+      i + 1 + k % 5 + 2 + k % 7 AS starts, i + 1 + k % 5 + 2 AS top3 FROM links WHERE k % 6 <> 5 AND k % 10 <> 0"""
+
+
+@query("H7_jockey_pages", _jockey_sql())
+def jockey_years(spark: SparkSession, sf: str) -> DataFrame:
+    """From pages to the yearly table that the jockey rates come from; every tenth jockey is known."""
+    known = t(spark, sf, "pages").where("page_id % 10 = 0").select(F.concat(F.lit("j"), F.col("page_id").cast("string")).alias("jockey_id"))
+    yearly, _, _ = pg.parse_jockey_pages(jockey_pages(spark, sf), known)
+    return jockey_years_of_pages(yearly)
+
+
+@query("H7_jockey_rates", "SELECT concat('j', page_id) AS jockey_id, CASE WHEN page_id % 6 <> 5 THEN 0.25::DOUBLE END AS top2_rate, CASE WHEN page_id % 6 <> 5 THEN 45.5::DOUBLE END AS top3_rate FROM pages")
+def jockey_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Overall rates of the first row, and the pages that could not be read, without rates."""
+    _, rates, bad = pg.parse_jockey_pages(jockey_pages(spark, sf))
+    return rates.drop("win_rate").unionByName(bad.select("jockey_id"), allowMissingColumns=True)

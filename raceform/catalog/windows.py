@@ -95,17 +95,20 @@ def _score_sql(c: str, name: str) -> str:
 _EXPECTED = "round_even(p1 + p2 * 2 + p3 * 3 + p_other * 4, 3)"
 
 
-def _history_sql(by: str) -> str:
+def _history_sql(*groups: str) -> str:
+    by = ", ".join(groups)
+    same = lambda a, b: " AND ".join(f"{a}.{g} = {b}.{g}" for g in groups)
+    of = lambda a: ", ".join(f"{a}.{g}" for g in groups)
     cols = ("p1", "p2", "p3", "p_other", "expected")
-    prefix = f"dev_{by}_"
+    prefix = f"dev_{'_'.join(groups)}_"
     merged = ", ".join(f"own.{k}_{c} + coalesce(h.{k}_{c}, 0) AS {k}_{c}" for c in cols for k in "nsq")
     hist = ", ".join(f"sum(d.{k}_{c}) AS {k}_{c}" for c in cols for k in "nsq")
     names = ", ".join(_score_sql(c, prefix + c) for c in cols)
     return f"""WITH {roles.SCORES}, v AS (SELECT {_KEYS}, date, {by}, p1, p2, p3, p_other, {_EXPECTED} AS expected FROM scores),
       daily AS (SELECT {by}, date, {_sums_sql(cols)} FROM v GROUP BY ALL),
       own AS (SELECT race_id, {by}, date, {_sums_sql(cols)} FROM v GROUP BY ALL),
-      h AS (SELECT a.{by}, a.date, {hist} FROM (SELECT DISTINCT {by}, date FROM v) a JOIN daily d ON d.{by} = a.{by} AND d.date < a.date GROUP BY ALL),
-      st AS (SELECT own.race_id, {merged} FROM own LEFT JOIN h ON h.{by} = own.{by} AND h.date = own.date)
+      h AS (SELECT {of("a")}, a.date, {hist} FROM (SELECT DISTINCT {by}, date FROM v) a JOIN daily d ON {same("d", "a")} AND d.date < a.date GROUP BY ALL),
+      st AS (SELECT own.race_id, {merged} FROM own LEFT JOIN h ON {same("h", "own")} AND h.date = own.date)
       SELECT {_KEYS}, {names}, {prefix}p1 + {prefix}p2 + {prefix}p3 AS {prefix}sum FROM v JOIN st USING (race_id)"""
 
 
@@ -114,9 +117,9 @@ def _valued(spark: SparkSession, sf: str) -> DataFrame:
     return roles.scores(spark, sf).withColumn("expected", expected_place(c("p1"), c("p2"), c("p3"), c("p_other")))
 
 
-def _history_scores(spark: SparkSession, sf: str, by: str) -> DataFrame:
-    v = _valued(spark, sf).select(*_KEYS.split(", "), "date", by, "p1", "p2", "p3", "p_other", "expected")
-    return deviation.history_deviation(v, v, by).drop("date", by, "p1", "p2", "p3", "p_other", "expected")
+def _history_scores(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    v = _valued(spark, sf).select(*_KEYS.split(", "), "date", *by, "p1", "p2", "p3", "p_other", "expected")
+    return deviation.history_deviation(v, v, by).drop("date", *by, "p1", "p2", "p3", "p_other", "expected")
 
 
 @query("W5_round_deviation", _history_sql("round"))
@@ -129,6 +132,17 @@ def class_deviation(spark: SparkSession, sf: str) -> DataFrame:
     return _history_scores(spark, sf, "class")
 
 
+@query("W5_round_surface_deviation", _history_sql("round", "surface"))
+def round_surface_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    """Turf and dirt have histories of their own."""
+    return _history_scores(spark, sf, "round", "surface")
+
+
+@query("W6_class_surface_deviation", _history_sql("class", "surface"))
+def class_surface_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    return _history_scores(spark, sf, "class", "surface")
+
+
 _RACE_COLS = ("p1", "p2", "p3", "top3", "expected")
 
 

@@ -61,30 +61,31 @@ def race_deviation(df: DataFrame, race: str = "race_id", columns: Sequence[str]
 
 
 def history_deviation(
-    entries: DataFrame, history: DataFrame, by: str, race: str = "race_id", date: str = "date",
+    entries: DataFrame, history: DataFrame, by: str | Sequence[str], race: str = "race_id", date: str = "date",
     columns: Sequence[str] = ("p1", "p2", "p3", "p_other", "expected"), prefix: str | None = None,
 ) -> DataFrame:
-    """Scores of each race against the same group (round, class) in all history before the race's day.
+    """Scores of each race against the same group (round, class, perhaps with the surface) in all history before the race's day.
 
     The group of a race is the history of earlier days plus the race's own rows. History is
     summed per (group, day); a running sum over that calendar-bounded table serves every race. Entries without race, group or day
     score null.
     """
-    prefix = prefix or f"dev_{by}_"
+    by = [by] if isinstance(by, str) else list(by)
+    prefix = prefix or f"dev_{'_'.join(by)}_"
     sums = _sums(columns)
     names = [f"_{k}_{c}" for c in columns for k in "nsq"]
-    daily = history.groupBy(by, date).agg(*sums)
-    own = entries.groupBy(race, by, date).agg(*sums)
-    asked = own.select(by, date).distinct().withColumn("_asked", F.lit(True))
-    merged = daily.unionByName(asked, allowMissingColumns=True).groupBy(by, date).agg(
+    daily = history.groupBy(*by, date).agg(*sums)
+    own = entries.groupBy(race, *by, date).agg(*sums)
+    asked = own.select(*by, date).distinct().withColumn("_asked", F.lit(True))
+    merged = daily.unionByName(asked, allowMissingColumns=True).groupBy(*by, date).agg(
         *[F.max(c).alias(c) for c in names], F.max("_asked").alias("_asked")
     )
-    before = Window.partitionBy(by).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    running = merged.select(by, date, "_asked", *[F.sum(c).over(before).alias(f"h{c}") for c in names]).where("_asked")
-    stats = own.join(running, [by, date]).select(
-        race, by, date, *[(F.col(c) + F.coalesce(F.col(f"h{c}"), F.lit(0))).alias(c) for c in names]
+    before = Window.partitionBy(*by).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    running = merged.select(*by, date, "_asked", *[F.sum(c).over(before).alias(f"h{c}") for c in names]).where("_asked")
+    stats = own.join(running, [*by, date]).select(
+        race, *by, date, *[(F.col(c) + F.coalesce(F.col(f"h{c}"), F.lit(0))).alias(c) for c in names]
     )
-    scored = entries.join(stats, [race, by, date], "left").select(*entries.columns, *_scores(columns, prefix))
+    scored = entries.join(stats, [race, *by, date], "left").select(*entries.columns, *_scores(columns, prefix))
     return _with_total(scored, prefix, round_total=False)
 
 

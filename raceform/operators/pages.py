@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from raceform.functions import text as tx
 from raceform.schemas import RAW_RACE
+from raceform.session import materialize
 
 # Markup of the race pages and the meaning of result-table cells.
 RESULT_TABLE_CLASS = "race_table_01 nk_tb_common"
@@ -198,6 +199,92 @@ def parse_horse_pages(pages: DataFrame, known: DataFrame | None = None) -> tuple
     return history, marked.where(~readable).select("horse_id", "html")
 
 
+def with_tables(pages: DataFrame, name: str) -> DataFrame:
+    """``pages`` with the markup of every table of ``html`` in page order, without the tables inside it. Tags may be in capitals; an open table ends with the page.
+
+    A few selections one after the other, so that what a lambda looks at is a column and not worked out again for each element.
+    """
+    opens, closes = (lambda p: p.rlike(r"(?i)^<table[\s>]")), (lambda p: p.rlike(r"(?i)^</table[\s>]"))
+    step = lambda p: F.when(opens(p), 1).when(closes(p), -1).otherwise(0)
+    # How many tables are open after each piece.
+    depths = F.aggregate("_pieces", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + step(p))))
+
+    def own(at: Column) -> Column:
+        rest = F.slice("_pieces", at + 2, F.size("_pieces"))
+        inside = F.filter(
+            F.transform(rest, lambda p, i: F.struct(p.alias("piece"), F.get("_depths", at + 1 + i).alias("depth"), (at + 1 + i).alias("place"))),
+            lambda r: (r["depth"] == F.get("_depths", at)) & (r["place"] < F.get("_ends", at)))
+        first = F.regexp_replace(F.get("_pieces", at), r"(?i)^<table[^>]*>", "")
+        return F.concat(first, F.array_join(F.transform(inside, lambda r: F.regexp_replace(r["piece"], r"(?i)^</?table[^>]*>", "")), ""))
+
+    pieces = pages.withColumn("_pieces", F.split("html", r"(?i)(?=</?table[\s>])")).withColumn("_depths", depths)
+    # Where each piece's level ends: at the first later piece with fewer open tables.
+    later = lambda d, i: F.array_position(F.transform(F.slice("_depths", i + 2, F.size("_depths")), lambda x: x < d), F.lit(True)).cast("int")
+    ends = F.transform(F.transform("_depths", later), lambda e, i: F.when(e > 0, i + e).otherwise(F.size("_depths")))
+    starts = F.filter(F.transform("_pieces", lambda p, i: F.when(opens(p), i)), lambda i: i.isNotNull())
+    return pieces.withColumn("_ends", ends).withColumn("_starts", starts).withColumn(name, F.transform("_starts", own)).drop("_pieces", "_depths", "_ends", "_starts")
+
+
+def spanned_cells(row: Column) -> Column:
+    """Cells of a row (text, wide, tall, head): how many columns and rows a cell covers, and whether it is a heading."""
+    cells = F.regexp_extract_all(row, F.lit(r"(?is)(<t[hd](?:\s[^>]*)?>.*?)</t[hd]>"), F.lit(1))
+
+    def span(cell: Column, name: str) -> Column:
+        return F.greatest(F.coalesce(F.regexp_extract(cell, rf'(?is)^<[^>]*{name}="?(\d+)', 1).try_cast("int"), F.lit(1)), F.lit(1))
+
+    return F.transform(cells, lambda c: F.struct(plain_text(F.regexp_replace(c, r"^<[^>]*>", "")).alias("text"), span(c, "colspan").alias("wide"),
+                                                 span(c, "rowspan").alias("tall"), c.rlike(r"(?is)^<th").alias("head")))
+
+
+def with_two_level_names(rows: DataFrame, first: Column, second: Column, name: str) -> DataFrame:
+    """``rows`` with the names ``upper|lower`` of the columns under two heading rows; a heading that covers both rows is both."""
+    top = F.flatten(F.transform(first, lambda c: F.array_repeat(F.struct(c["text"].alias("text"), (c["tall"] > 1).alias("both")), c["wide"])))
+    low = F.flatten(F.transform(second, lambda c: F.array_repeat(c["text"], c["wide"])))
+    below = lambda i: F.size(F.filter(F.slice("_top", F.lit(1), i + 1), lambda t: ~t["both"])) - 1
+    names = F.transform("_top", lambda t, i: F.concat_ws("|", t["text"], F.when(t["both"], t["text"]).otherwise(F.get("_low", below(i)))))
+    return rows.withColumns({"_top": top, "_low": low}).withColumn(name, names).drop("_top", "_low")
+
+
+# Headings of a jockey's result table.
+SUMMARY_YEAR = "累計"
+JOCKEY_PLACES = {"1着": "first", "2着": "second", "3着": "third", "着外": "other"}
+JOCKEY_KINDS = {"重賞": "graded", "特別": "special", "平場": "regular", "芝": "turf", "ダート": "dirt"}
+JOCKEY_RATES = {"勝率": "win_rate", "連対率": "top2_rate", "複勝率": "top3_rate"}
+
+
+def parse_jockey_pages(pages: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jockey pages ``(jockey_id, html)`` to yearly rows, overall rates, and the pages that could not be read.
+
+    Yearly rows have the placings and, per kind of race, starts and wins, without the summary row. The rates are those of the first
+    row of the page, the summary. Ids in ``known`` are skipped. A page without a table that has two heading rows and a year column goes
+    to the third table instead of stopping the run.
+    """
+    fresh = pages if known is None else pages.join(known.select("jockey_id"), "jockey_id", "left_anti")
+    rows = F.regexp_extract_all(F.get("_tables", F.lit(0)), F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"), F.lit(1))
+    cells = with_tables(fresh, "_tables").withColumn("_rows", rows).withColumn("_cells", F.transform("_rows", spanned_cells)).drop("_tables", "_rows")
+    heading = lambda i: F.coalesce(F.forall(F.get("_cells", F.lit(i)), lambda c: c["head"]), F.lit(False))
+    headed = [F.when(heading(0) & heading(1), F.get("_cells", F.lit(i))) for i in (0, 1)]
+    # Stored, since three tables are made from it.
+    named = materialize(with_two_level_names(cells, *headed, "_names"), "jockey-cells")
+    year = "年度|年度"
+    readable = F.coalesce(F.array_contains("_names", year), F.lit(False))
+    body = named.where(readable).select("jockey_id", "_names", F.posexplode(F.slice("_cells", F.lit(3), F.size("_cells"))).alias("_row", "_body"))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("_names", F.lit(name))
+        return F.when(at > 0, F.get("_body", (at - 1).cast("int"))["text"])
+
+    def whole(name: str) -> Column:
+        return F.replace(cell(name), F.lit(","), F.lit("")).try_cast("bigint")
+
+    counts = {n: whole(f"{h}|{h}") for h, n in JOCKEY_PLACES.items()}
+    for h, n in JOCKEY_KINDS.items():
+        counts |= {f"{n}_starts": whole(f"{h}|出走"), f"{n}_wins": whole(f"{h}|勝利")}
+    yearly = body.where(cell(year) != SUMMARY_YEAR).select("jockey_id", cell(year).try_cast("int").alias("year"), *[c.alias(n) for n, c in counts.items()])
+    rates = body.where("_row = 0").select("jockey_id", *[tx.to_double(F.regexp_replace(cell(f"{h}|{h}"), r"[%％]", "")).alias(n) for h, n in JOCKEY_RATES.items()])
+    return yearly, rates, named.where(~readable).select("jockey_id", "html")
+
+
 def recognise_header(texts: Column) -> dict[str, Column]:
     """Race facts recognised in a list of header texts; of several matches the later rule or text wins."""
     from raceform.functions import codes
