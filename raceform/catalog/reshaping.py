@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,23 @@ def dummies(spark: SparkSession, sf: str) -> DataFrame:
     return encode.apply_dummies(o, encode.fit_dummies(o, ["o_orderstatus"]))
 
 
+@query("X2_sparse_dummies", """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS c, o_orderstatus AS s FROM orders), n AS (SELECT count(DISTINCT c) AS n, count(DISTINCT s) AS m FROM o),
+    v AS (SELECT c AS value, dense_rank() OVER (ORDER BY CAST(c AS VARCHAR)) - 1 AS code FROM (SELECT DISTINCT c FROM o WHERE c IS NOT NULL) q)
+  SELECT o_orderkey, CAST(code AS INT) AS customer_at, CAST(n + dense_rank() OVER (ORDER BY s) - 1 AS INT) AS status_at, CAST(n + m AS INT) AS width, CASE WHEN c IS NULL THEN 1 ELSE 2 END AS n_set
+  FROM o LEFT JOIN v ON value = c, n""")
+def sparse_dummies(spark: SparkSession, sf: str) -> DataFrame:
+    """As many categories as there are customers."""
+    o = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")).alias("customer"), F.col("o_orderstatus").alias("status"))
+    fitted = encode.fit_sparse_dummies(o, ["customer", "status"])
+    v = vector_to_array("dummies")
+    dense = encode.apply_sparse_dummies(o, fitted).select("o_orderkey", v.alias("v"))
+    set_at = F.filter(F.transform("v", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    placed = dense.select("o_orderkey", set_at.alias("at"), F.size("v").alias("width"))
+    first = F.lit(fitted.sizes["customer"])
+    return placed.select("o_orderkey", F.get(F.filter("at", lambda i: i < first), F.lit(0)).alias("customer_at"),
+                         F.get(F.filter("at", lambda i: i >= first), F.lit(0)).alias("status_at"), "width", F.size("at").alias("n_set"))
+
+
 @query("X3_pivot", "SELECT l_partkey AS horse_id, " + ", ".join(f"max(ancestor) FILTER (pos = {i}) AS peds_{i}" for i in range(7))
        + " FROM (SELECT l_partkey, l_linenumber - 1 AS pos, concat(l_returnflag, l_suppkey) AS ancestor FROM lineitem) q GROUP BY 1")
 def pivot(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every plan relies on: one time zone, strict arithmetic, and
 # adaptive execution that may split a skewed join side even when that costs a shuffle.
@@ -69,3 +70,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return stored, seen.get["n"]

@@ -81,3 +81,9 @@ def test_primes(spark):
     assert sorted(r["id"] for r in df.where("is_prime").collect()) == PRIMES
     edge = with_primality(spark.createDataFrame([(0,), (-7,), (-8,), (None,)], "id bigint"), "id").collect()
     assert {r["id"]: r["is_prime"] for r in edge if r["id"] is not None} == {0: True, -7: True, -8: True}
+
+
+def test_large_primes(spark):
+    known = {10**12 + 39: True, (10**6 + 3) ** 2: False, 999_983 * 999_979: False, 2**61 - 1: True, 3_215_031_751: False, 3_825_123_056_546_413_051: False, 2**63 - 25: True, 561: False}
+    got = with_primality(spark.createDataFrame([(n,) for n in known] * 3 + [(None,)], "id bigint"), "id").collect()
+    assert len(got) == 3 * len(known) + 1 and {r["id"]: r["is_prime"] for r in got} == known | {None: None}

@@ -161,7 +161,7 @@ def test_runs_equal_the_full_table(spark, as_of):
         store = RunStore(spark, base)
         since = None if not number else f"{arrived} 00:00:00"
         out = modelling_run(raw, store, f"r{number}", since, as_of)
-        if number == 1:  # the run dies here and is repeated
+        if number == 1 and not as_of:  # the run dies here and is repeated
             store = RunStore(spark, base)
             out = modelling_run(raw, store, f"r{number}", since, as_of)
         store.commit(f"r{number}")
@@ -171,6 +171,8 @@ def test_runs_equal_the_full_table(spark, as_of):
         for a, b in zip(got, expected, strict=True):
             assert dict(zip(names, a, strict=True)) == dict(zip(names, b, strict=True)), number
         assert bool(rows) == bool(out.count())
+        said = {r["name"]: r["value"] for r in store.facts(f"r{number}").collect()}
+        assert int(said["rows_made"]) == out.count()
 
 
 @pytest.mark.parametrize("late", [False, True])
@@ -181,12 +183,13 @@ def test_a_run_reads_new_folders_and_touched_tails(spark, monkeypatch, late):
     # Races of their own, so that no row is a copy.
     batches[1] = [("2021" + r[0][4:], *r[1:]) for r in batches[1]]
     plans = {}
-    real = incremental.materialize
+    real, count = incremental.materialize, incremental.counted
     for number, rows in enumerate(batches):
         spark.createDataFrame(rows, RAW_RACE).withColumn("ingest_date", F.to_date(F.substring("update_at", 1, 10))).write.mode("append").partitionBy("ingest_date").parquet(path)
         store = RunStore(spark, base)
         if number:
             monkeypatch.setattr(incremental, "materialize", lambda df, label: (plans.update({label: plan(df)}), real(df, label))[1])
+            monkeypatch.setattr(incremental, "counted", lambda df, label: (plans.update({label: plan(df)}), count(df, label))[1])
         modelling_run(spark.read.parquet(path), store, f"r{number}", "2021-02-01 00:00:00" if number else None)
         store.commit(f"r{number}")
     assert "PartitionFilters: [isnotnull(ingest_date" in plans["clean"]

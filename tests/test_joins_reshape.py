@@ -91,3 +91,21 @@ def test_unpivot_and_split(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("j", "dirt", 3, 4), ("j", "turf", 1, 2)]
     parts = reshape.split_columns(spark.createDataFrame([("3-4",)], "x string"), "x", "-", ["a", "b", "c"]).first()
     assert tuple(parts) == ("3-4", "3", "4", None)
+
+
+def test_dummies_of_any_width(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from raceform.operators import encode
+
+    wide = spark.range(50_000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"), F.lit(None).cast("string").alias("nothing"), F.col("id").alias("n"))
+    fitted = encode.fit_sparse_dummies(wide, ["a", "b", "nothing"])
+    assert fitted.sizes == {"a": 50_000, "b": 3, "nothing": 0}
+    asked = spark.createDataFrame([("7", "1", None, 1), ("unknown", None, "x", 2)], "a string, b string, nothing string, n bigint")
+    got = {r["n"]: r["dummies"] for r in encode.apply_sparse_dummies(asked, fitted).collect()}
+    codes = {(r["entity"], r["value"]): r["code"] for r in fitted.vocabulary.where("value in ('7', '1')").collect()}
+    assert got[1].size == got[2].size == 50_003
+    assert sorted(got[1].indices) == [codes["a", "7"], 50_000 + codes["b", "1"]] and len(got[2].indices) == 0
+    assert encode.apply_sparse_dummies(wide, fitted).count() == 50_000
+    alone = encode.apply_sparse_dummies(asked.select("nothing", "n"), encode.fit_sparse_dummies(wide, ["nothing"]))
+    assert [r["v"] for r in alone.select(vector_to_array("dummies").alias("v")).collect()] == [[], []]
