@@ -91,7 +91,7 @@ def rolling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("J4_form_of_other_table", f"""WITH {roles.RUNS}, asked AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-    l_partkey % 1500 AS horse_id, CAST(l_shipdate AS DATE) AS date FROM lineitem),
+    l_partkey AS horse_id, CAST(l_shipdate AS DATE) AS date FROM lineitem),
   days AS (SELECT DISTINCT horse_id, date FROM asked),
   past AS (SELECT d.horse_id, d.date AS day, h.* EXCLUDE (horse_id), row_number() OVER (PARTITION BY d.horse_id, d.date ORDER BY h.date DESC, h.entry_id DESC) AS rn
     FROM days d JOIN runs h ON d.horse_id = h.horse_id AND h.date < d.date),
@@ -101,7 +101,7 @@ def rolling(spark: SparkSession, sf: str) -> DataFrame:
 def form_of_other_table(spark: SparkSession, sf: str) -> DataFrame:
     asked = t(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        (F.col("l_partkey") % 1500).alias("horse_id"), F.to_date("l_shipdate").alias("date"),
+        F.col("l_partkey").alias("horse_id"), F.to_date("l_shipdate").alias("date"),
     )
     spec = FormSpec(metrics={"prize": 2}, windows=(3, ALL), avg=("prize",), std=("prize",), max=("prize",), total=("prize",))
     formed = form_features(asked, roles.runs(spark, sf), "horse_id", "date", ["entry_id"], spec)
@@ -166,12 +166,14 @@ def jockey_overall_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J8_sire_roles", """SELECT c.c_custkey AS horse_id, f.c_acctbal AS f_c_acctbal, f.c_nationkey AS f_c_nationkey, ff.c_acctbal AS ff_c_acctbal,
     ff.c_nationkey AS ff_c_nationkey, mf.c_acctbal AS mf_c_acctbal, mf.c_nationkey AS mf_c_nationkey
-  FROM (SELECT *, (c_custkey * 31 + 7) % 1500 AS s, (c_custkey * 17 + 3) % 1600 AS ss, (c_custkey * 13 + 5) % 1500 AS ds FROM customer) c
+  FROM (SELECT *, (c_custkey * 31 + 7) % n AS s, (c_custkey * 17 + 3) % (n + n // 15) AS ss, (c_custkey * 13 + 5) % n AS ds FROM customer, (SELECT count(*) AS n FROM customer) z) c
   LEFT JOIN customer f ON f.c_custkey = s LEFT JOIN customer ff ON ff.c_custkey = ss LEFT JOIN customer mf ON mf.c_custkey = ds""")
 def sire_roles(spark: SparkSession, sf: str) -> DataFrame:
     c, k = t(spark, sf, "customer"), F.col("c_custkey")
-    entries = c.select(k.alias("horse_id"), ((k * 31 + 7) % 1500).alias("sire_id"), ((k * 17 + 3) % 1600).alias("sire_sire_id"),
-                       ((k * 13 + 5) % 1500).alias("dam_sire_id"))
+    # Any customer can be a sire; some sires of sires are unknown.
+    n = c.agg(F.count(F.lit(1)).alias("n")).scalar()
+    entries = c.select(k.alias("horse_id"), ((k * 31 + 7) % n).alias("sire_id"), ((k * 17 + 3) % (n + F.floor(n / 15))).alias("sire_sire_id"),
+                       ((k * 13 + 5) % n).alias("dam_sire_id"))
     stats = c.select("c_custkey", "c_acctbal", "c_nationkey")
     out = joins.attach_roles(entries, stats, "c_custkey", {"f_": "sire_id", "ff_": "sire_sire_id", "mf_": "dam_sire_id"})
     return out.drop("sire_id", "sire_sire_id", "dam_sire_id")

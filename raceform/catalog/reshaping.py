@@ -22,12 +22,12 @@ def union_history(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.union_tables(history, current)
 
 
-@query("U2_keyed_union", """SELECT 'open' AS kind, o_orderkey, o_custkey, NULL::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus = 'O'
+@query("U2_keyed_union", """SELECT 'open' AS kind, o_orderkey, o_custkey, NULL::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus <> 'F'
   UNION ALL SELECT 'closed', o_orderkey, NULL, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
 def keyed_union(spark: SparkSession, sf: str) -> DataFrame:
     o = t(spark, sf, "orders")
     return reshape.keyed_union({
-        "open": o.where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_custkey"),
+        "open": o.where(F.col("o_orderstatus") != "F").select("o_orderkey", "o_custkey"),
         "closed": o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice"),
     }, "kind")
 
