@@ -12,6 +12,9 @@ SQL = oracle_sql()
 # No twin: model outputs.
 ROWS_ONLY = sorted(set(queries()) - set(SQL))
 
+# Queries that train several models at full rounds; others here train by the same code. `python check.py` compares them, too.
+SLOW = {"M4_probability", "O5_importance", "S12_model_sink", "C5_end_to_end", "T3_report_requests", "A18_observed_counts"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
@@ -26,6 +29,8 @@ def test_every_twin_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
+    if name in SLOW and not os.environ.get("RACEFORM_SLOW"):
+        pytest.skip("set RACEFORM_SLOW")
     assert difference(queries()[name](spark, SF).toPandas(), duck.sql(SQL[name]).df()) is None
 
 
