@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raceform.llm.naming import unused
 from raceform.session import materialize
 
 MIN_CHARS = 40
@@ -102,16 +103,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines = materialize(lines, "lines")
     for number in range(batches):
         runs.add(lines.where(F.col("batch") == number))
+    doc, text_id, drop = unused(docs, "drop_doc", "drop_text", "drop_lines")
     drops = (
         lines.join(runs.frequent(), HASH).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("largest")))
-        .groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("_drop"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(text_id)).agg(F.collect_set("pos").alias(drop))
     )
-    left = docs.withColumn("_id", F.xxhash64("text"))
-    joined = left.join(drops, left["doc_id"].eqNullSafe(drops["doc_id"]) & (left["_id"] == drops["text_id"]), "left").drop(drops["doc_id"], drops["text_id"], left["_id"])
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_id)), "left").drop(doc, text_id)
     split = text_lines(F.col("text"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_drop"), lambda i: F.get(split, i)), "\n")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), drop), lambda i: F.get(split, i)), "\n")
     return joined.withColumns({
-        "kept": F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept),
+        "kept": F.when(F.col(drop).isNull(), F.coalesce("text", F.lit(""))).otherwise(kept),
         "n_lines": F.size(split).cast("bigint"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"),
-    }).drop("_drop")
+        "n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("bigint"),
+    }).drop(drop)

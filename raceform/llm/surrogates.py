@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from raceform.llm.naming import unused
 from raceform.session import materialize
 
 # Titles by gender, given names by gender and script.
@@ -149,17 +150,17 @@ def render(mention: str, kind: str, new: str) -> str:
 ENTITIES = ArrayType(StructType([StructField("kind", StringType()), StructField("normal", StringType())]))
 
 
-def _detect(names: list[str], having: bool):
-    """Rows with entities, and these; or the rows without."""
+def _detect(names: list[str], held: str | None = None):
+    """Rows with entities, and these as column ``held``; or, without such a name, the rows that have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("normal", pa.string())]))
         for batch in batches:
             found = [sorted({m[2:] for m in mentions(t)}) if t else [] for t in batch.column("text").to_pylist()]
-            chosen = pa.array([bool(f) == having for f in found], pa.bool_())
+            chosen = pa.array([bool(f) == bool(held) for f in found], pa.bool_())
             entities = pa.array([[{"kind": k, "normal": n} for k, n in f] for f in found], kind)
-            columns = [batch.column(n) for n in names] + ([entities] if having else [])
-            yield pa.RecordBatch.from_arrays(columns, names=names + (["entities"] if having else [])).filter(chosen)
+            columns = [batch.column(n) for n in names] + ([entities] if held else [])
+            yield pa.RecordBatch.from_arrays(columns, names=names + ([held] if held else [])).filter(chosen)
 
     return run
 
@@ -193,12 +194,12 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def _rewrite(names: list[str]):
+def _rewrite(names: list[str], mapped: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {n: batch.column(n) for n in batch.schema.names}
             texts, counts = [], []
-            for text, rows in zip(columns["text"].to_pylist(), columns["map"].to_pylist(), strict=True):
+            for text, rows in zip(columns["text"].to_pylist(), columns[mapped].to_pylist(), strict=True):
                 new, at, parts = {(r["kind"], r["normal"]): r["surrogate"] for r in rows}, 0, []
                 found = mentions(text)
                 for start, end, kind, normal in found:
@@ -221,12 +222,13 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """
     docs = docs.drop("replaced", "n_mentions")
     names = docs.columns
-    held = docs.mapInArrow(_detect(names, True), StructType([*docs.schema.fields, StructField("entities", ENTITIES)]))
-    held = materialize(held.withColumn("_row", F.expr("uuid()")), "texts-with-entities")
-    pairs = held.select("_row", F.explode("entities").alias("e")).select("_row", "e.kind", "e.normal")
-    maps = pairs.join(assign(pairs, key), ["kind", "normal"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "normal", "surrogate")).alias("map"))
+    entities, row, mapped = unused(docs, "entities", "row", "map")
+    held = docs.mapInArrow(_detect(names, entities), StructType([*docs.schema.fields, StructField(entities, ENTITIES)]))
+    held = materialize(held.withColumn(row, F.expr("uuid()")), "texts-with-entities")
+    pairs = held.select(F.col(row).alias("row"), F.explode(entities).alias("e")).select("row", "e.kind", "e.normal")
+    maps = pairs.join(assign(pairs, key), ["kind", "normal"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "normal", "surrogate")).alias(mapped))
     out = [*names, "replaced", "n_mentions"]
     fields = StructType([*docs.schema.fields, StructField("replaced", StringType())]).add("n_mentions", "long")
-    changed = held.drop("entities").join(maps, "_row").drop("_row").mapInArrow(_rewrite(out), fields)
-    same = docs.mapInArrow(_detect(names, False), docs.schema).withColumns({"replaced": F.col("text"), "n_mentions": F.lit(0).cast("bigint")})
+    changed = held.drop(entities).join(maps, row).drop(row).mapInArrow(_rewrite(out, mapped), fields)
+    same = docs.mapInArrow(_detect(names), docs.schema).withColumns({"replaced": F.col("text"), "n_mentions": F.lit(0).cast("bigint")})
     return changed.unionByName(same)

@@ -133,7 +133,7 @@ class Scorer(dict):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """Averaged weights; None without a confirmed toxic document in the training folds."""
+    """Averaged weights; None without a confirmed toxic label in the training folds, the prior alone if no document is in them."""
     learn = fold(F.col("doc_id")) != 0
     known = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_known, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -156,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
         return pd.DataFrame({"weights": [weights.tobytes()]})
 
     models = positive.unionByName(unlabelled).groupBy("model").applyInPandas(one, "weights binary").collect()
+    if not models:
+        return train([], [], prior)
     return np.mean([np.frombuffer(m["weights"], np.float32) for m in models], axis=0)
 
 
@@ -164,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFra
 
     Labels are (doc_id, toxic); only those of folds other than 0 are read, null labels are unlabelled, and of several for a
     document the toxic one counts. Null and empty texts have no words and get the score of the intercept. Without any
-    confirmed toxic example every score is 0. Repeated rows get equal scores, an empty table an empty result. Extra
+    confirmed toxic example every score is 0; with labels but no document in the training folds every score is the prior. Repeated rows get equal scores, an empty table an empty result. Extra
     columns pass through, the text with ``keep_text`` only; those named like a result are replaced.
     """
     docs = docs.drop("score", "predicted")

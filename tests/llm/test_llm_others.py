@@ -168,6 +168,15 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_without_documents_in_training_folds(spark):
+    ids = spark.range(400).withColumn("fold", toxicity.fold(F.col("id")))
+    held = [r.id for r in ids.where("fold = 0").limit(3).collect()]
+    labels = ids.where("fold != 0").select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    prior = labels.agg(F.avg("toxic")).first()[0]
+    out = toxicity.score(spark.createDataFrame([(i, t) for i, t in zip(held, ("vile words", "", None), strict=True)], DOCS), labels).collect()
+    assert [(r.score, r.predicted) for r in out] == [(pytest.approx(prior, abs=1e-6), 0)] * 3
+
+
 def test_negative_part_of_the_risk_is_not_negative():
     few, many = [b"vile"] * 5, [b"vile"] * 5 + [b"kind"] * 45
     weights = toxicity.train(few, many, 0.1)
@@ -207,6 +216,16 @@ def test_surrogates_keep_kind_format_and_reference(spark):
     assert surrogates.pseudonymize(docs.limit(0)).count() == 0
 
 
+def test_surrogates_pass_columns_named_like_their_own(spark):
+    names = ["entities", "map", "_row", "ROW", "kind", "normal", "surrogate", "map_"]
+    docs = spark.createDataFrame(TEXTS, DOCS)
+    out = surrogates.pseudonymize(docs.withColumns({n: F.lit(n) for n in names}))
+    assert out.columns == [*docs.columns, *names, "replaced", "n_mentions"]
+    rows = out.collect()
+    assert all(r[n] == n for r in rows for n in names)
+    assert sorted(map(str, surrogates.pseudonymize(docs).collect())) == sorted(map(str, out.drop(*names).collect()))
+
+
 def test_surrogates_of_a_crowded_space_stay_distinct(spark):
     known = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("given-f-latin", f"name{i}") for i in range(400)]
     out = surrogates.assign(spark.createDataFrame(known * 2, "kind string, normal string")).collect()
