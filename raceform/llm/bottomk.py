@@ -6,13 +6,15 @@ sets are one class, so copies cost one row each. Inverted lists of retained valu
 * Of the k smallest hashes of a union, those in both sets are retained by both sketches. With a similarity of
   0.75 or more, fewer than ``least_shared`` of them occur in less than one pair in 1e9 (binomial tail). Below k
   hashes in the union the count is exact.
-* So two linked classes share ``least_shared`` values, and therefore one of the rarest ``held - least_shared + 1`` that
-  each has in common with others. Classes with too few common values have no partner. Narrow sketches sort those
-  out; the rest get wide ones, whose rarest values are listed under value and size class.
+* So two linked classes share ``least_shared`` values. Classes with too few common values have no partner. Narrow sketches
+  sort those out; the rest get wide ones. Values retained by the same classes, as those of a shared passage, are one item
+  with a weight, so a passage is one inverted list and not hundreds. A class lists its rarest items, as long as enough weight
+  is behind them; the first item that a pair shares is on the list of both. Lists are split by size, and of those with
+  equal members only the rarest is worked on, since it comes first for all its pairs.
 * In each list, every member is compared with a hub, not with every other: the member whose values most others
-  hold, which in a family of edited copies is the original. Links of a round are joined to components; lists
-  whose members are not yet one component go on without their old hubs, with more new ones. Lists
-  end when one component or no member is left, so no pair is missed and near-copies cost one comparison each.
+  hold, which in a family of edited copies is the original. A pair needs enough weight of shared items. Links of a round
+  are joined to components; lists whose members are not yet one component go on without their old hubs, with more new
+  ones. Lists end when one component or no member is left, so no pair is missed and near-copies cost one comparison each.
 * The k smallest hashes of the union estimate a pair's similarity; what passes is verified on full sets,
   recomputed from the texts.
 
@@ -29,10 +31,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raceform.llm.components import components
+from raceform.llm.naming import unused
 from raceform.llm.shingles import WordHashes, shingle_sets
 from raceform.session import materialize
 
@@ -44,6 +47,10 @@ PART, WHOLE = 75, 100
 # Members of one size class differ by a factor of 4/3 at most.
 CLASS_RATIO = 4 / 3
 ROUND_GROWTH = 16
+# Low bits of an item's id that hold its weight, at most WIDE.
+WEIGHT_BITS = 10
+WEIGHT = (1 << WEIGHT_BITS) - 1
+CLASS = ["s1", "s2", "n_shingles"]
 
 
 def least_shared(k: int, miss: float = MISS) -> int:
@@ -66,8 +73,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 second.append(int(((h ^ (h >> np.uint64(17))) * np.uint64(0xD6E8FEB86659FD93)).sum().view(np.int64)) if len(h) else 0)
                 sketches.append(found[:NARROW])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
+                [batch.column("doc_id"), batch.column("text_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "text_id", "n_shingles", "s1", "s2", "sketch"])
 
 
 def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,18 +106,55 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _listed(sets: DataFrame, k: int) -> DataFrame:
-    """The sets that can have a partner, with the rarest of their common values: one of them every partner lists too."""
-    entries = sets.select("node", "n_shingles", F.explode("sketch").alias("value"))
-    common = entries.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    need = F.least(F.lit(least_shared(k)), F.ceil(F.col("n_shingles") * PART / WHOLE)).cast("int")
-    return (
-        entries.join(common, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("held"))
-        .where(F.size("held") >= need)
-        .withColumn("central", F.aggregate("held", F.lit(0.0), lambda total, v: total + F.log2(v["holders"])))
-        .withColumn("common", F.size("held"))
-        .withColumn("held", F.slice("held", F.lit(1), F.size("held") - need + 1))
-    )
+def _possible(classes: DataFrame) -> DataFrame:
+    """Classes with enough common values in their narrow sketch to have a partner."""
+    entries = classes.select("node", "n_shingles", F.explode("sketch").alias("value"))
+    common = entries.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1").select("value")
+    return entries.join(common, "value").groupBy("node", "n_shingles").agg(F.count("*").alias("common")).where(F.col("common") >= _need(NARROW)).select("node")
+
+
+def _need(k: int) -> Column:
+    """Values that a set's sketch of k shares with that of any partner."""
+    return F.least(F.lit(least_shared(k)), F.ceil(F.col("n_shingles") * PART / WHOLE)).cast("int")
+
+
+def _members(node: Column) -> list[Column]:
+    """Aggregates that together tell a set of nodes from others: its size and sums of 32-bit parts of two hashes."""
+    parts = [F.shiftright(h, 32) if high else h.bitwiseAND(0xFFFFFFFF) for h in (F.xxhash64(node), F.xxhash64(F.lit(1), node)) for high in (True, False)]
+    return [F.count("*").alias("holders"), *(F.sum(p).alias(f"m{i}") for i, p in enumerate(parts))]
+
+
+SAME = ["holders", "m0", "m1", "m2", "m3"]
+
+
+def _items(bodies: DataFrame) -> DataFrame:
+    """Rows (node, item) of the items before which a set can have its first common one with a partner.
+
+    Values held by the same sets are one item, weighing as many; an item's id has its weight in the last bits. ``before``
+    is the weight of the set's rarer items, ``common`` that of all, ``items`` are all, rarest first.
+    """
+    entries = bodies.select("node", "n_shingles", F.explode("sketch").alias("value"))
+    common = entries.groupBy("value").agg(*_members(F.col("node"))).where("holders > 1")
+    held = entries.join(common, "value").groupBy("node", "n_shingles", *SAME).agg(F.count("*").alias("weight"), F.min("value").alias("least"))
+    held = held.withColumn("item", F.shiftleft("least", WEIGHT_BITS).bitwiseOR(F.col("weight")))
+    order = Window.partitionBy("node").orderBy("holders", "item")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = held.select(
+        "node", "n_shingles", "holders", "item", (F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")).alias("before"),
+        F.sum("weight").over(whole).alias("common"), F.sum(F.col("weight") * F.log2("holders")).over(whole).alias("central"), F.collect_list("item").over(whole).alias("items"))
+    return held.where(F.col("common") - F.col("before") >= _need(WIDE))
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """Rows of the lists with members of several components; of lists with equal members the rarest, where their pairs meet first."""
+    of_list = lists.groupBy("list").agg(*_members(F.col("node")), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.col("holders").alias("h"), "item")).alias("rank"))
+    first = of_list.where("low < high").groupBy(*SAME).agg(F.min(F.struct("rank", "list")).alias("first")).select("first.list")
+    return lists.join(first, "list", "left_semi")
+
+
+def _enough(weight: Column, n: Column, other: Column) -> Column:
+    """Whether sets of these sizes can be a link if their sketches share ``weight`` values at most."""
+    return F.when(F.greatest(n, other) > WIDE, weight >= least_shared(WIDE)).otherwise((WHOLE + PART) * weight >= PART * (n + other))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -118,49 +162,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, kept says that it is the row's own. A null, empty or
     blank text has no shingles and is linked with nothing; with fewer than five words the whole sequence is the
-    one shingle. Repeated rows have equal sets and are one class, kept alike; rows that repeat a doc_id with
-    another text count as linked where both lead their class. Rows without doc_id follow a class that has one, else they
-    are kept with a null component_id. An empty table gives an empty result; extra columns are not looked at.
+    one shingle. Repeated rows have equal sets and are one class, kept alike; rows that repeat a doc_id with another text
+    have classes of their own. Rows without doc_id follow a class that has one, else they are kept with a null
+    component_id. A very long text is one row of one task, its sketches are bounded. An empty table gives an empty
+    result; extra columns are not looked at.
     """
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch array<bigint>"), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch")).where("node is not null")
-    classes = materialize(classes, "sketch-classes")
-    possible = _listed(classes, NARROW).select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(possible, "doc_id", "left_semi")
-    bodies = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(_widen, "node bigint, n_shingles bigint, body binary, sketch array<bigint>")
-    bodies = materialize(bodies.where("n_shingles > 0"), "bodies")
+    return labelled(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` does not keep; a row goes by its doc_id and text, not by its doc_id alone."""
+    doc, text_id = unused(docs, "gone_doc", "gone_text")
+    gone = labelled(docs).where("doc_id != component_id or doc_id is null and component_id is not null")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("text_id").alias(text_id)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_id)), "left_anti")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, n_shingles, component_id); text_id is the hash of the row's text."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    rows = materialize(rows.mapInArrow(_sketch, "doc_id bigint, text_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch array<bigint>"), "sketches")
+    # Nodes are numbers of classes, pinned by writing them.
+    leader = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_id"))).alias("lead")
+    classes = rows.where("n_shingles > 0").groupBy(*CLASS).agg(leader, F.any_value("sketch").alias("sketch")).where("lead is not null")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), *CLASS, "lead.*", "sketch"), "sketch-classes")
+    possible = classes.join(_possible(classes), "node", "left_semi").select("node", "doc_id", "text_id")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text").join(possible, ["doc_id", "text_id"])
+    bodies = texts.select("node", "text").mapInArrow(_widen, "node bigint, n_shingles bigint, body binary, sketch array<bigint>")
+    # Repeated rows of a document are one body.
+    bodies = materialize(bodies.dropDuplicates(["node"]), "bodies")
     sketches = bodies.select("node", "sketch")
-    member = ["node", "n_shingles", "common", "central"]
     step = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(CLASS_RATIO)) + 1e-9)
-    lists = (
-        _listed(bodies, WIDE).withColumn("size_class", F.explode(F.array(step, step + 1)))
-        .select(*member, "size_class", F.posexplode("held.value").alias("pos", "value"))
-    )
-    shared = least_shared(WIDE)
+    alive = _items(bodies).withColumn("size_class", F.explode(F.array(step, step + 1)))
+    alive = materialize(alive.withColumns({"list": F.xxhash64("item", "size_class"), "label": F.col("node")}).drop("size_class"), "items")
+    alive = materialize(_open(alive), "lists")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
     refused: DataFrame | None = None
-    # A list of one has nothing to compare.
-    key = ["value", "size_class"]
     hubs_per_list = 1
-    alive = lists.join(lists.groupBy(*key).agg(F.count_distinct("node").alias("n")).where("n > 1").select(*key), key, "left_semi").withColumn("label", F.col("node"))
-    alive = materialize(alive, "lists")
     while alive.limit(1).count():
         salted = alive.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(hubs_per_list)), F.lit(hubs_per_list)))
-        hubs = salted.groupBy(*key, "salt").agg(F.min(F.struct(
-            (-F.col("central")).alias("rest"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n_shingles").alias("hub_n"), (F.col("common") - F.col("pos")).alias("hub_common"))).alias("h"))
-        hubs = materialize(hubs.select(*key, "h.*"), "hubs")
-        # The first value that a pair shares, in the order of rarity, leaves enough common values behind it on both sides.
-        behind = F.least(F.col("common") - F.col("pos"), "hub_common")
+        hubs = salted.groupBy("list", "salt").agg(F.min(F.struct(
+            (-F.col("central")).alias("rest"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n_shingles").alias("hub_n"),
+            (F.col("common") - F.col("before")).alias("hub_behind"), F.col("items").alias("hub_items"))).alias("h"))
+        hubs = materialize(hubs.select("list", "h.*"), "hubs")
+        # Behind the first item that a pair shares there is enough weight on both sides, and what they share is enough.
+        n, hub_n = F.col("n_shingles"), F.col("hub_n")
+        overlap = F.aggregate(F.array_intersect("items", "hub_items"), F.lit(0).cast("bigint"), lambda total, item: total + item.bitwiseAND(WEIGHT))
         fits = (
-            (F.col("label") != F.col("hub_label")) & (WHOLE * F.least("n_shingles", "hub_n") >= PART * F.greatest("n_shingles", "hub_n"))
-            & F.when(F.greatest("n_shingles", "hub_n") > WIDE, behind >= shared).otherwise((WHOLE + PART) * behind >= PART * (F.col("n_shingles") + F.col("hub_n")))
-        )
-        pairs = (
-            alive.join(hubs, key).where(fits)
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            (F.col("label") != F.col("hub_label")) & (WHOLE * F.least(n, hub_n) >= PART * F.greatest(n, hub_n))
+            & _enough(F.least(F.col("common") - F.col("before"), "hub_behind"), n, hub_n) & _enough(overlap, n, hub_n)
         )
+        pairs = alive.join(hubs, (alive["list"] == hubs["list"]) & fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -169,30 +223,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         close = (
             pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
             .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-            .where(both >= F.least(F.lit(shared), F.ceil(F.size(union) * PART / WHOLE).cast("int"))).select("a", "b").distinct()
+            .where(both >= F.least(F.lit(least_shared(WIDE)), F.ceil(F.size(union) * PART / WHOLE).cast("int"))).select("a", "b")
         )
         confirmed = (
             close.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
             .join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
             .mapInArrow(_verify, "a bigint, b bigint")
         )
-        confirmed = materialize(confirmed.distinct(), "links")
+        confirmed = materialize(confirmed, "links")
         tried = pairs.join(confirmed, ["a", "b"], "left_anti")
         refused = tried if refused is None else refused.unionByName(tried)
         if labels is None or confirmed.limit(1).count():
             links = confirmed if links is None else links.unionByName(confirmed)
             labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         alive = (
-            alive.select(*member, "pos", *key).join(hubs.select(F.col("hub").alias("node"), *key), ["node", *key], "left_anti")
+            alive.drop("label").join(hubs.select(F.col("hub").alias("node"), "list"), ["node", "list"], "left_anti")
             .join(labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         )
-        open_lists = alive.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key)
-        alive = materialize(alive.join(open_lists, key, "left_semi"), "lists")
+        alive = materialize(_open(alive), "lists")
         hubs_per_list *= ROUND_GROWTH
 
-    of_class = classes.select("s1", "s2", "n_shingles", "node")
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
+    ids = classes.select("node", F.col("doc_id").alias("smallest"))
     if labels is not None:
-        out = out.join(labels.select(F.col("u").alias("node"), F.col("v").alias("smallest")), "node", "left").withColumn("node", F.coalesce("smallest", "node"))
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("node")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        members = labels.select(F.col("u").alias("node"), "v").unionByName(labels.select(F.col("v").alias("node"), "v").distinct())
+        of_component = members.join(ids, "node").groupBy("v").agg(F.min("smallest").alias("component"))
+        ids = ids.join(members.join(of_component, "v").select("node", "component"), "node", "left").withColumn("smallest", F.coalesce("component", "smallest"))
+    out = rows.select("doc_id", "text_id", *CLASS).join(classes.select(*CLASS, "node").join(ids, "node").select(*CLASS, "smallest"), CLASS, "left")
+    return out.select("doc_id", "text_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))

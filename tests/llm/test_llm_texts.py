@@ -92,30 +92,66 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def linked(rows):
+    """Expected result for rows whose sets are told apart by (doc_id, set)."""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    distinct = [x for x in dict.fromkeys(sets) if x]
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if 100 * len(x & y) >= 75 * len(x | y):
+                root[find(x)] = find(y)
+    least = {}
+    for (doc, _), x in zip(rows, sets, strict=True):
+        if x:
+            least[find(x)] = min(doc, least.get(find(x), doc))
+    return sorted((doc, len(x), least[find(x)] if x else doc, not x or doc == least[find(x)]) for (doc, _), x in zip(rows, sets, strict=True))
+
+
 def test_near_duplicates_are_brute_force(spark):
     rows = [r for r in rows_of(150, 2) if r[0] is not None]
-    sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                parent[root(i)] = root(j)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
-        least[root(i)] = min(doc, least.get(root(i), doc))
-    expected = [(doc, len(sets[i]), least[root(i)], doc == least[root(i)]) for i, (doc, _) in enumerate(rows)]
+    expected = linked(rows)
     out = bottomk.near_duplicates(frame(spark, rows, "component_id")).collect()
-    assert sorted(map(tuple, out)) == sorted(expected)
+    assert sorted(map(tuple, out)) == expected
     assert len({c for _, _, c, _ in expected}) < len({d for d, _ in rows})
 
 
+def test_near_duplicates_wider_than_a_sketch(spark):
+    draw, rows = random.Random(9), []
+    for base in range(6):
+        words = [f"b{base}w{draw.randrange(10**6)}" for _ in range(700 + 450 * base)]
+        for share in [0, *(draw.uniform(0.1, 0.3) for _ in range(14))]:
+            # A new tail of about this share of the set: similarities on both sides of 0.75.
+            cut = int(len(words) * (1 - share / 2))
+            rows.append((len(rows), " ".join(words[:cut] + [f"t{draw.randrange(10**6)}" for _ in range(len(words) - cut)])))
+    expected = linked(rows)
+    assert sorted(map(tuple, bottomk.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())) == expected
+    assert 6 < sum(kept for *_, kept in expected) < len(rows)
+
+
+def test_texts_of_shared_passages_are_no_links(spark):
+    draw = random.Random(10)
+    pool = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(40)]
+    rows = [(i, " ".join(draw.sample(pool, 24) + [f"own{i}"])) for i in range(90)]
+    rows += [(100 + i, rows[i][1] + " and a few words behind") for i in range(0, 90, 9)]
+    assert sorted(map(tuple, bottomk.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())) == linked(rows)
+
+
+def test_rows_that_repeat_an_id_go_by_their_text(spark):
+    a, b, c = "one two three four five six seven", "other words that copy nothing at all here", "1 2 3 4 5 6 7 8 9 10"
+    rows = [(1, a), (5, a.upper()), (5, b), (3, c), (5, c), (5, None), (None, a), (None, "nobody's words stay"), (None, None), (1, a)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"gone_doc": F.lit("x"), "text_id": F.lit("y")})
+    out = bottomk.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(1, a), (1, a), (5, b), (3, c), (5, None), (None, "nobody's words stay"), (None, None)], key=str)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     assert bottomk.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     out = bottomk.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, "other words")], DOCS)).collect()
@@ -218,6 +254,17 @@ def test_line_dedup_is_brute_force(spark, batches):
     assert sorted(map(tuple, out), key=str) == line_rule(rows)
 
 
+def test_line_dedup_passes_columns_named_like_its_own(spark):
+    line = "a line that is long enough to be counted as a line of its own"
+    names = ["_id", "_drop", "drop_doc", "Drop_Lines", "text_id", "pos", "h1", "batch", "largest"]
+    docs = spark.createDataFrame([(i, f"{line}\nrow {i}") for i in range(6)], DOCS).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    out = line_runs.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "kept", "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+        assert r.n_dropped == (r.doc_id < 5)
+
+
 def test_line_runs_are_compacted_and_serve_later_loads(spark):
     line = "one line that comes again and again in every load of documents"
     runs = line_runs.LineRuns(spark)
