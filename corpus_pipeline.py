@@ -30,9 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id; so do rows without doc_id."""
-    gone = bottomk.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT)
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id; a row without doc_id goes if it copies one that has one."""
+    return bottomk.one_of_each(docs.select(*DOCUMENT))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
