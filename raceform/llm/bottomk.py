@@ -197,9 +197,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     alive = materialize(alive.withColumns({"list": F.xxhash64("item", "size_class"), "label": F.col("node")}).drop("size_class"), "items")
     alive = materialize(_open(alive), "lists")
 
-    links: DataFrame | None = None
     labels: DataFrame | None = None
-    refused: DataFrame | None = None
+    seen: DataFrame | None = None
     hubs_per_list = 1
     while alive.limit(1).count():
         salted = alive.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(hubs_per_list)), F.lit(hubs_per_list)))
@@ -215,9 +214,10 @@ def labelled(docs: DataFrame) -> DataFrame:
             & _enough(F.least(F.col("common") - F.col("before"), "hub_behind"), n, hub_n) & _enough(overlap, n, hub_n)
         )
         pairs = alive.join(hubs, (alive["list"] == hubs["list"]) & fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
         union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, WIDE)
         both = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
         close = (
@@ -231,11 +231,9 @@ def labelled(docs: DataFrame) -> DataFrame:
             .mapInArrow(_verify, "a bigint, b bigint")
         )
         confirmed = materialize(confirmed, "links")
-        tried = pairs.join(confirmed, ["a", "b"], "left_anti")
-        refused = tried if refused is None else refused.unionByName(tried)
         if labels is None or confirmed.limit(1).count():
-            links = confirmed if links is None else links.unionByName(confirmed)
-            labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            links = confirmed.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            labels = components(links if labels is None else labels.unionByName(links))
         alive = (
             alive.drop("label").join(hubs.select(F.col("hub").alias("node"), "list"), ["node", "list"], "left_anti")
             .join(labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))

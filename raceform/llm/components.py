@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     if mark[0] == 0:
         return edges
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_stars(materialize(_stars(edges, True), "large-stars"), False), "small-stars")
+        edges = materialize(_stars(_stars(edges, True), False), "stars")
         new = _mark(edges)
         if new == mark:
             return edges
