@@ -4,7 +4,8 @@
 2. Each gets a surrogate from a keyed hash: digits stay digits, letters letters, octets octets; a valid card number stays
    valid; a given name keeps gender and script. Two checks follow, by grouped minimum and join: a surrogate that
    two entities drew stays with the first, and one that is itself an entity of the corpus is given up. Losers draw again
-   until none is left, so different entities stay different and none turns into another.
+   until none is left, so different entities stay different and none turns into another. A short format may have no value
+   left that is no entity: later draws grow it, octets to any width, the others by a character for every fourth draw.
 3. The same entity gets the same surrogate everywhere. Given names and surnames are entities of their own, so a full
    name and a title with the surname still refer to one person. Every mention is written in its own format.
 
@@ -41,6 +42,8 @@ GENDER_END = {("f", "latin"): "na", ("m", "latin"): "rd", ("n", "latin"): "l", (
 SURNAME_END = {"latin": "man", "cyrillic": "енко"}
 KEY = b"raceform"
 MAX_DRAWS = 64
+# Draws that keep the length of the format.
+EXACT_DRAWS = 8
 
 WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"
 GENDER = {form: g for g, titles in TITLES.items() for t in titles for form in (t, t.upper())}
@@ -110,20 +113,21 @@ def luhn(digits: str) -> int:
 
 
 def surrogate(kind: str, normal: str, draw: int, key: bytes = KEY) -> str:
-    """The ``draw``-th surrogate of an entity, in normal form."""
+    """The ``draw``-th surrogate of an entity, in normal form; longer from ``EXACT_DRAWS`` on, but for cards and social security numbers, whose formats have room."""
     numbers = _numbers(kind, normal, draw, key)
+    longer = max(0, (draw - EXACT_DRAWS) // 4 + 1)
     if kind.startswith(("given", "surname")):
         *_, letters = kind.split("-")
         end = SURNAME_END[letters] if kind.startswith("surname") else GENDER_END[kind.split("-")[1], letters]
         return "".join(SYLLABLES[letters][next(numbers) % 12] for _ in range(3 + draw // 4)) + end
     if kind == "ip":
         spans = {1: (1, 9), 2: (10, 99), 3: (100, 255)}
-        return ".".join(str(low + (next(numbers) * 256 + next(numbers)) % (high - low + 1)) for low, high in (spans[len(x)] for x in normal.split(".")))
+        return ".".join(str(low + (next(numbers) * 256 + next(numbers)) % (high - low + 1)) for low, high in ((1, 255) if longer else spans[len(x)] for x in normal.split(".")))
     fixed = normal.rfind(".") if kind == "email" else len(normal)
     out = []
+    hexadecimal = kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal)
     for i, c in enumerate(normal):
         n = next(numbers)
-        hexadecimal = kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal)
         if i > fixed or (kind in ("phone", "card") and i == 0) or not (c.isascii() and c.isalnum()):
             out.append(c)
         elif hexadecimal:
@@ -134,17 +138,26 @@ def surrogate(kind: str, normal: str, draw: int, key: bytes = KEY) -> str:
             out.append(chr((97 if c.islower() else 65) + n % 26))
     if kind == "card" and luhn(normal) == 0:
         out[-1] = next(d for d in "0123456789" if luhn("".join(out[:-1]) + d) == 0)
+    if kind == "email":
+        out = [chr(97 + next(numbers) % 26) for _ in range(longer)] + out
+    elif kind == "phone" or hexadecimal:
+        out += [str(next(numbers) % 10) for _ in range(longer)]
+    elif kind == "secret":
+        out += [chr(97 + next(numbers) % 26) for _ in range(longer)]
     return "".join(out)
 
 
 def render(mention: str, kind: str, new: str) -> str:
-    """A surrogate in the format of a mention: its separators, its capitals."""
+    """A surrogate in the format of a mention: its separators, its capitals; what a phone number or an address has more is put behind or before it."""
     if kind.startswith(("given", "surname")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
     if kind in ("phone", "card"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
-    return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True)) if kind == "email" else new
+        return "".join([next(digits) if c.isdigit() else c for c in mention]) + "".join(digits)
+    if kind == "email":
+        more = len(new) - len(mention)
+        return new[:more] + "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new[more:], strict=True))
+    return new
 
 
 ENTITIES = ArrayType(StructType([StructField("kind", StringType()), StructField("normal", StringType())]))

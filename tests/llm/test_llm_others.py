@@ -234,3 +234,32 @@ def test_surrogates_of_a_crowded_space_stay_distinct(spark):
     assert not {(r.kind, r.surrogate) for r in out} & set(known)
     assert all(r.surrogate.endswith("na") for r in out if r.kind == "given-f-latin")
     assert surrogates.surrogate("ip", "1.2.3.4", 0, b"a") != surrogates.surrogate("ip", "1.2.3.4", 0, b"b")
+
+
+def test_surrogates_of_full_spaces_grow_their_format(spark):
+    rows = [(0, "password: -------- and token=________"), (1, None), (2, "")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(10 + i, " ".join(f"{i}.{a}.{b}.{c}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10))) for i in range(1, 10)]
+    rows += [(100 + i, " ".join(f"{x}@{y}.io" for y in letters)) for i, x in enumerate(letters)]
+    rows += [(200, "mail A@B.io or call +1 23 45"), (201, "call +1 23-45")]
+    out = {r.doc_id: r for r in surrogates.pseudonymize(spark.createDataFrame(rows, DOCS)).collect()}
+    known = {m[2:] for _, t in rows for m in surrogates.mentions(t or "")}
+    assert len(known) == 9**4 + 26**2 + 3
+    new = {}
+    for doc, text in rows:
+        for old in surrogates.mentions(text or ""):
+            new.setdefault(old[2:], set())
+        if 10 < doc < 200:
+            for old, now in zip(text.split(), out[doc].replaced.split(), strict=True):
+                new[surrogates.mentions(old)[0][2:]].add(surrogates.mentions(now)[0][2:])
+    spaces = [now for old, now in new.items() if old[0] in ("ip", "email")]
+    assert all(len(now) == 1 for now in spaces)
+    drawn = set().union(*spaces)
+    assert len(drawn) == 9**4 + 26**2 and not drawn & known
+    (address,) = new["email", "a@b.io"]
+    written = out[200].replaced.split()[1]
+    assert written.lower() == address[1] and written != written.lower()
+    assert out[200].replaced.split("call ")[1].replace(" ", "") == out[201].replaced.split("call ")[1].replace(" ", "").replace("-", "") != "+12345"
+    secrets = [now[len(old):] for old, now in zip(("password: --------", "token=________"), out[0].replaced.split(" and "), strict=True)]
+    assert all(1 <= len(more) <= 3 and more.isalpha() for more in secrets)
+    assert (out[1].replaced, out[2].replaced) == (None, "")
