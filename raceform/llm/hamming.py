@@ -94,10 +94,11 @@ def _search(k: int):
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """(id, code) of vectors (id, vector) with up to 64 dimensions: bit i says that dimension i is positive; null numbers are not."""
+    """(id, code) of vectors (id, vector) with up to 64 dimensions: bit i says that dimension i is positive; null numbers are not. A wider vector is an error."""
     bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    bits = F.transform(F.slice("vector", 1, BITS), bit)
-    return vectors.select("id", F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)).alias("code"))
+    code = F.aggregate(F.transform("vector", bit), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    wide = F.raise_error(F.concat(F.lit(f"codes have {BITS} bits, a vector has dimensions: "), F.size("vector").cast("string")))
+    return vectors.select("id", F.when(F.size("vector") > BITS, wide).otherwise(code).alias("code"))
 
 
 def nearest(codes: DataFrame, queries: DataFrame, k: int = K, shard_codes: int = SHARD_CODES, block_queries: int = BLOCK_QUERIES) -> DataFrame:

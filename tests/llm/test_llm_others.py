@@ -91,6 +91,10 @@ def test_nearest_with_few_rows(spark):
     assert hamming.nearest(one.limit(0), one.limit(0)).count() == 0
     vectors = spark.createDataFrame([(1, [0.5, -1.0, 2.0, None]), (2, None), (3, [])], "id bigint, vector array<float>")
     assert [tuple(r) for r in hamming.sign_codes(vectors).collect()] == [(1, 5), (2, None), (3, 0)]
+    full = spark.createDataFrame([(1, [-1.0] * 63 + [1.0])], "id bigint, vector array<float>")
+    assert [r.code for r in hamming.sign_codes(full).collect()] == [-(2**63)]
+    with pytest.raises(Exception, match="65"):
+        hamming.sign_codes(spark.createDataFrame([(1, [1.0] * 65)], "id bigint, vector array<float>")).collect()
 
 
 def test_masked_scores_are_those_of_a_plain_loop():
