@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +52,8 @@ def sparse_dummies(spark: SparkSession, sf: str) -> DataFrame:
     """As many categories as there are customers."""
     o = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")).alias("customer"), F.col("o_orderstatus").alias("status"))
     fitted = encode.fit_sparse_dummies(o, ["customer", "status"])
-    v = vector_to_array("dummies")
-    dense = encode.apply_sparse_dummies(o, fitted).select("o_orderkey", v.alias("v"))
-    set_at = F.filter(F.transform("v", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
-    placed = dense.select("o_orderkey", set_at.alias("at"), F.size("v").alias("width"))
+    vectors = encode.apply_sparse_dummies(o, fitted)
+    placed = vectors.select("o_orderkey", encode.set_places(F.col("dummies")).alias("at"), encode.vector_width(F.col("dummies")).alias("width"))
     first = F.lit(fitted.sizes["customer"])
     return placed.select("o_orderkey", F.get(F.filter("at", lambda i: i < first), F.lit(0)).alias("customer_at"),
                          F.get(F.filter("at", lambda i: i >= first), F.lit(0)).alias("status_at"), "width", F.size("at").alias("n_set"))

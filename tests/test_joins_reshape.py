@@ -109,3 +109,18 @@ def test_dummies_of_any_width(spark):
     assert encode.apply_sparse_dummies(wide, fitted).count() == 50_000
     alone = encode.apply_sparse_dummies(asked.select("nothing", "n"), encode.fit_sparse_dummies(wide, ["nothing"]))
     assert [r["v"] for r in alone.select(vector_to_array("dummies").alias("v")).collect()] == [[], []]
+
+
+def test_sparse_dummies_are_read_without_being_laid_out(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    from raceform.operators import encode
+
+    vocabulary = spark.createDataFrame([("a", "x", 1_999_999_998), ("b", "y", 2)], "entity string, value string, code bigint")
+    fitted = encode.SparseDummies(vocabulary, {"a": 2_000_000_000, "b": 3})
+    rows = spark.createDataFrame([("x", "y", 1), ("other", "others", 2)], "a string, b string, n bigint")
+    v = F.col("dummies")
+    out = encode.apply_sparse_dummies(rows, fitted).select("n", encode.set_places(v).alias("at"), encode.vector_width(v).alias("width"))
+    assert {r["n"]: (r["at"], r["width"]) for r in out.collect()} == {1: ([1_999_999_998, 2_000_000_002], 2_000_000_003), 2: ([], 2_000_000_003)}
+    dense = F.udf(lambda: Vectors.dense([0, 1, 0, 1]), VectorUDT())()
+    assert spark.range(1).select(encode.set_places(dense).alias("at"), encode.vector_width(dense).alias("width")).first() == ([1, 3], 4)
