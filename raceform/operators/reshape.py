@@ -47,19 +47,21 @@ def flatten_pedigree(tree: DataFrame, horse: str, row: str, generations: Sequenc
     A page has at most 32 rows, so the per-horse numbering is bounded.
     """
     last = len(generations) - 1
+    kind = dict(tree.dtypes)[generations[last]]
+    # Moved once, as the narrow rows of the page; what follows needs a horse's rows together and moves none.
+    pages = tree.select(horse, F.col(row).cast("bigint").alias("_row"), *generations).repartition(F.col(horse))
     items = F.array(*[
         F.struct(
             F.lit(g).alias("gen"),
-            F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in generations[: g + 1]]).alias("path"),
-            (F.col(row) if g == last else F.lit(-1)).cast("bigint").alias("leaf"),
-            F.col(generations[g]).alias("ancestor"),
+            F.array(*[F.col(c).cast("string") for c in generations[: g + 1]]).alias("path"),
+            (F.col("_row") if g == last else F.lit(-1).cast("bigint")).alias("leaf"),
         )
         for g in range(len(generations))
     ])
-    exploded = tree.select(horse, F.col(row).cast("bigint").alias("_row"), F.inline(items))
-    first = exploded.groupBy(horse, "gen", "path", "leaf").agg(F.min("_row").alias("_row"), F.max("ancestor").alias("ancestor"))
+    # The ancestor ends its path: a text is no part of the sums, so groups are hashed and not sorted.
+    first = pages.select(horse, "_row", F.inline(items)).groupBy(horse, "gen", "path", "leaf").agg(F.min("_row").alias("_row"))
     w = Window.partitionBy(horse).orderBy("gen", "_row")
-    return first.select(horse, (F.row_number().over(w) - 1).alias("pos"), "ancestor")
+    return first.select(horse, (F.row_number().over(w) - 1).alias("pos"), F.get("path", F.col("gen")).cast(kind).alias("ancestor"))
 
 
 def pivot_pedigree(long: DataFrame, horse: str, size: int = ANCESTORS) -> DataFrame:

@@ -112,7 +112,7 @@ def test_dummies_of_any_width(spark):
 
 
 def test_sparse_dummies_are_read_without_being_laid_out(spark):
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import Vectors
 
     from raceform.operators import encode
 
@@ -122,5 +122,15 @@ def test_sparse_dummies_are_read_without_being_laid_out(spark):
     v = F.col("dummies")
     out = encode.apply_sparse_dummies(rows, fitted).select("n", encode.set_places(v).alias("at"), encode.vector_width(v).alias("width"))
     assert {r["n"]: (r["at"], r["width"]) for r in out.collect()} == {1: ([1_999_999_998, 2_000_000_002], 2_000_000_003), 2: ([], 2_000_000_003)}
-    dense = F.udf(lambda: Vectors.dense([0, 1, 0, 1]), VectorUDT())()
-    assert spark.range(1).select(encode.set_places(dense).alias("at"), encode.vector_width(dense).alias("width")).first() == ([1, 3], 4)
+    dense = spark.createDataFrame([(Vectors.dense([0, 1, 0, 1]),)], ["dummies"])
+    assert dense.select(encode.set_places(v).alias("at"), encode.vector_width(v).alias("width")).first() == ([1, 3], 4)
+
+
+def test_pedigree_pages_move_once(spark):
+    tree = spark.range(200).select((F.col("id") % 50).alias("horse"), F.col("id").alias("row"), *[F.concat(F.lit("a"), (F.col("id") % 2**g).cast("string")).alias(f"g{g}") for g in range(5)])
+    flat = reshape.flatten_pedigree(tree, "horse", "row", [f"g{g}" for g in range(5)])
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    gaps = spark.createDataFrame([(1, 0, None, "x"), (1, 1, None, "y"), (1, 2, "b", None), (1, 2, "b", None)], "horse int, row int, g0 string, g1 string")
+    assert [tuple(r) for r in reshape.flatten_pedigree(gaps, "horse", "row", ["g0", "g1"]).orderBy("pos").collect()] == [
+        (1, 0, None), (1, 1, "b"), (1, 2, "x"), (1, 3, "y"), (1, 4, None)]
