@@ -151,3 +151,25 @@ def test_reports_by_stream_equal_the_batch(spark, tmp_path):
         jobs.report_requests(stream, "race_id", entries, registry, models, contract, "n", f"{tmp_path}/out", f"{tmp_path}/c", "at")
     batch = scoring.report_rows(entries.where("race_id in ('r1', 'r3')"), registry, models, contract)
     assert sorted(spark.read.parquet(f"{tmp_path}/out").select(*batch.columns).collect()) == sorted(batch.collect())
+
+
+def test_first_row_of_a_key_is_found_row_by_row():
+    from pyspark.sql import Row
+
+    from raceform.streaming.jobs import FirstSeen
+
+    class State:
+        held = False
+
+        def exists(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value[0]
+
+    step = FirstSeen(["at", "n"])
+    step.seen = State()
+    # Null is last, equal places keep the order of arrival, and rows come one at a time.
+    rows = iter([Row(k=1, at=None, n=0), Row(k=1, at=5, n=2), Row(k=1, at=5, n=1)])
+    assert list(step.handleInputRows((1,), rows, None)) == [Row(k=1, at=5, n=1)]
+    assert list(step.handleInputRows((1,), iter([Row(k=1, at=0, n=0)]), None)) == []
