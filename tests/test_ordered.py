@@ -128,3 +128,24 @@ def test_rows_without_date_are_split_and_filled(spark):
     assert filled == {("a", 0): 5, ("a", 1): 5, ("b", 0): None, ("b", 1): 7}
     first = {(r["k"], r["o"]): r["v"] for r in ordered.forward_fill(rows.withColumn("v", F.when(F.col("d").isNull(), F.lit(4))), "k", "d", ["o"], ["v"]).collect()}
     assert first == {("a", 0): 4, ("a", 1): 4, ("b", 0): 4, ("b", 1): 4}
+
+
+def test_rows_without_copies_are_not_moved(spark):
+    from raceform.operators.ordered import merge_copies
+
+    rows = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, "y"), ("b", 1, "z", None), (None, 1, "n", "n")], "k string, at int, u string, v string")
+    out = merge_copies(rows, ["k"], ["at"])
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", 2, "x", "y"), ("b", 1, "z", None)]
+    # One window over all columns was there before; now only the few rows with copies meet.
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lags_move_rows_before_they_are_packed(spark):
+    from raceform.operators.ordered import lag_features
+
+    rows = spark.range(20).select((F.col("id") % 3).alias("k"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 2).cast("int")).alias("d"), "id", F.col("id").alias("x"))
+    out = lag_features(rows, "k", "d", ["id"], ["x"], 2)
+    by_id = {r["id"]: (r["x1"], r["x2"]) for r in out.collect()}
+    assert by_id[9] == (6, 3) and by_id[0] == (None, None) and by_id[3] == (0, None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [k" in plan
