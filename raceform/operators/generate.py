@@ -11,6 +11,8 @@ from raceform.functions.codes import COURSES
 MEETINGS = 7
 DAYS = 13
 RACES = 12
+# Tasks for each core that generate pages.
+TASKS_PER_CORE = 4
 # Site address put before the race id; callers pass their own.
 PAGE_PREFIX = "https://example.com/race/"
 
@@ -22,7 +24,8 @@ def courses(spark: SparkSession) -> DataFrame:
 def candidate_pages(seasons: DataFrame, literal_ids: bool = False, prefix: str = PAGE_PREFIX) -> DataFrame:
     """All candidate pages of the given ``(year, course_id, place)`` rows.
 
-    One explode of a single range per season row, so generation scales with the input rows.
+    One explode of a single range per season row, so generation scales with the input rows. Season rows are few and small, so they may come in
+    one partition; they are dealt to all cores first.
     ``literal_ids`` puts a ``0`` before two-digit days as well, which gives 13-character ids.
     """
     per_season = MEETINGS * DAYS * RACES
@@ -34,8 +37,10 @@ def candidate_pages(seasons: DataFrame, literal_ids: bool = False, prefix: str =
     race_id = F.concat(
         F.col("year").cast("string"), _two_digits(F.col("course_id")), _two_digits(meeting), day_text, _two_digits(race)
     )
+    tasks = TASKS_PER_CORE * seasons.sparkSession.sparkContext.defaultParallelism
     return (
-        seasons.select("year", "course_id", "place", F.explode(F.sequence(F.lit(0), F.lit(per_season - 1))).alias("k"))
+        seasons.select("year", "course_id", "place").repartition(tasks)
+        .select("year", "course_id", "place", F.explode(F.sequence(F.lit(0), F.lit(per_season - 1))).alias("k"))
         .select(
             F.concat(F.lit(prefix), race_id).alias("url"),
             race_id.alias("current_race_id"),

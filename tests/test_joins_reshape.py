@@ -134,3 +134,10 @@ def test_pedigree_pages_move_once(spark):
     gaps = spark.createDataFrame([(1, 0, None, "x"), (1, 1, None, "y"), (1, 2, "b", None), (1, 2, "b", None)], "horse int, row int, g0 string, g1 string")
     assert [tuple(r) for r in reshape.flatten_pedigree(gaps, "horse", "row", ["g0", "g1"]).orderBy("pos").collect()] == [
         (1, 0, None), (1, 1, "b"), (1, 2, "x"), (1, 3, "y"), (1, 4, None)]
+
+
+def test_candidates_of_one_partition_are_made_by_many_tasks(spark):
+    seasons = spark.createDataFrame([(1990 + i, 3, "x") for i in range(40)], "year int, course_id int, place string").coalesce(1)
+    pages = generate.candidate_pages(seasons)
+    assert pages.select(F.spark_partition_id()).distinct().count() > 1
+    assert (pages.count(), pages.select("url").distinct().count()) == (40 * 1092, 40 * 1092)
