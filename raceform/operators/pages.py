@@ -226,14 +226,20 @@ def with_tables(pages: DataFrame, name: str) -> DataFrame:
 
 
 def spanned_cells(row: Column) -> Column:
-    """Cells of a row (text, wide, tall, head): how many columns and rows a cell covers, and whether it is a heading."""
+    """Cells of a row (text, wide, tall, head): how many columns and rows a cell covers, and whether it is a heading.
+
+    Most cells are a plain number in a plain tag, so the searches that clean a text or read a span run only where there is something to find.
+    """
     cells = F.regexp_extract_all(row, F.lit(r"(?is)(<t[hd](?:\s[^>]*)?>.*?)</t[hd]>"), F.lit(1))
+    parts = F.transform(cells, lambda c: F.struct(F.lower(F.substring_index(c, ">", 1)).alias("tag"), F.substr(c, F.position(F.lit(">"), c) + 1).alias("text")))
 
-    def span(cell: Column, name: str) -> Column:
-        return F.greatest(F.coalesce(F.regexp_extract(cell, rf'(?is)^<[^>]*{name}="?(\d+)', 1).try_cast("int"), F.lit(1)), F.lit(1))
+    def span(tag: Column, name: str) -> Column:
+        found = F.regexp_extract(tag, rf'(?s)^<[^>]*{name}="?(\d+)', 1).try_cast("int")
+        return F.when(tag.contains(name), F.greatest(F.coalesce(found, F.lit(1)), F.lit(1))).otherwise(1)
 
-    return F.transform(cells, lambda c: F.struct(plain_text(F.regexp_replace(c, r"^<[^>]*>", "")).alias("text"), span(c, "colspan").alias("wide"),
-                                                 span(c, "rowspan").alias("tall"), c.rlike(r"(?is)^<th").alias("head")))
+    return F.transform(parts, lambda c: F.struct(
+        F.when(c["text"].rlike(r"[<&\s\u00a0]"), plain_text(c["text"])).otherwise(c["text"]).alias("text"),
+        span(c["tag"], "colspan").alias("wide"), span(c["tag"], "rowspan").alias("tall"), c["tag"].startswith("<th").alias("head")))
 
 
 def with_two_level_names(rows: DataFrame, first: Column, second: Column, name: str) -> DataFrame:

@@ -59,3 +59,12 @@ def test_awards_table_is_skipped(spark):
     awards = "<table><tr><th>受賞歴</th></tr></table>"
     df = spark.createDataFrame([(other * 3 + awards + "<table>R</table>",), (other * 3 + "<table>S</table>",), (other,)], "html string")
     assert [r[0] for r in df.select(pg.nth_table(F.col("html"), 3)).collect()] == ["R", "S", None]
+
+
+def test_spanned_cells(spark):
+    row = ('<TD>12</TD><td align=right> 3,4 </td><TH ColSpan=2 class="a">x&amp;y<b>z</b></TH><th rowspan="2">年度</th>'
+           '<td rowspan="0"> 1 </td><td colspan="99999999999"></td><td data-x="SPAN">a &lt;b&gt;</td>')
+    cells = spark.range(1).select(pg.spanned_cells(F.lit(row)).alias("c"), pg.spanned_cells(F.lit(None).cast("string")).alias("none")).first()
+    assert [tuple(c) for c in cells.c] == [
+        ("12", 1, 1, False), ("3,4", 1, 1, False), ("x&yz", 2, 1, True), ("年度", 1, 2, True), ("1", 1, 1, False), ("", 1, 1, False), ("a <b>", 1, 1, False)]
+    assert cells.none is None
