@@ -51,12 +51,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
-    def rows() -> pa.RecordBatch:
-        out = [(lang, source, term, n, docs[term]) for (lang, source), (counts, docs) in held.items() for term, n in counts.items()]
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, docs) in held.items():
+            n_terms = len(counts)
+            columns = [pa.array(list(counts), pa.binary()), *(pa.array(np.fromiter(n, np.int64, n_terms)) for n in (counts.values(), map(docs.__getitem__, counts)))]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, n_terms), pa.repeat(source, n_terms), *columns], names=["lang", "source", "term", "n", "docs"])
         held.clear()
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for text, lang, source in zip(batch.column("text").cast(pa.binary()), batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
@@ -69,9 +69,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.update(own)
             size += len(counts)
             if size > HELD_TERMS:
-                yield rows()
+                yield from rows()
                 size = 0
-    yield rows()
+    yield from rows()
 
 
 def shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path as vocabulary
 from pyspark.sql import functions as F
@@ -157,6 +158,15 @@ def test_divergence_is_brute_force(spark, slice_terms, top):
     assert sorted(tuple(r) for r in out.collect()) == plain_divergence(rows, top=top)
 
 
+def test_terms_are_counted_group_by_group():
+    docs = pa.RecordBatch.from_pydict({"text": ["a b a", "b", "c b", ""], "lang": ["x", "y", "x", "z"], "source": ["s", "s", "s", ""]})
+    batches = list(divergence._counted(iter([docs])))
+    # A batch holds one language and source, so both are one value repeated.
+    assert all(len({(r["lang"], r["source"]) for r in b.to_pylist()}) < 2 for b in batches)
+    found = {tuple(r.values()) for b in batches for r in b.to_pylist()}
+    assert found == {("x", "s", b"a", 2, 1), ("x", "s", b"b", 2, 2), ("x", "s", b"c", 1, 1), ("y", "s", b"b", 1, 1)}
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.divergence(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
 
