@@ -149,6 +149,14 @@ def test_both_sides_help_to_predict(spark):
     assert masked_lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_the_default_training_uses_both_sides(spark):
+    draw = random.Random(9)
+    pairs = [("red", "apple"), ("blue", "sky"), ("green", "leaf"), ("old", "stone")]
+    docs = spark.createDataFrame([(i, " ".join(" ".join(draw.choice(pairs)) for _ in range(1500))) for i in range(60)], DOCS).coalesce(1)
+    # Frequencies alone give -2.08 a token, as do weights that saw little.
+    assert masked_lm.pseudo_likelihood(docs).agg(F.avg("mean_log_likelihood")).first()[0] > -1.0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
