@@ -15,6 +15,7 @@ sets are one class, so copies cost one row each. Inverted lists of retained valu
   hold, which in a family of edited copies is the original. A pair needs enough weight of shared items. Links of a round
   are joined to components; lists whose members are not yet one component go on without their old hubs, with more new
   ones. Lists end when one component or no member is left, so no pair is missed and near-copies cost one comparison each.
+  A pair is looked at in one list only, that of the rarest item it shares, so its other common lists make no rows.
 * The k smallest hashes of the union estimate a pair's similarity; what passes is verified on full sets,
   recomputed from the texts.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from raceform.llm.components import components
 from raceform.llm.naming import unused
 from raceform.llm.shingles import WordHashes, shingle_sets
-from raceform.session import materialize
+from raceform.session import counted, materialize
 
 # Sizes of the sketch that finds classes with a possible partner, and of the one that finds the partners.
 NARROW, WIDE = 48, 512
@@ -119,36 +120,39 @@ def _need(k: int) -> Column:
 
 
 def _members(node: Column) -> list[Column]:
-    """Aggregates that together tell a set of nodes from others: its size and sums of 32-bit parts of two hashes."""
-    parts = [F.shiftright(h, 32) if high else h.bitwiseAND(0xFFFFFFFF) for h in (F.xxhash64(node), F.xxhash64(F.lit(1), node)) for high in (True, False)]
-    return [F.count("*").alias("holders"), *(F.sum(p).alias(f"m{i}") for i, p in enumerate(parts))]
+    """Aggregates that together tell a set of nodes, each there once, from others: its size and two hashes, each added without carry."""
+    return [F.count("*").alias("holders"), F.bit_xor(F.xxhash64(node)).alias("m0"), F.bit_xor(F.xxhash64(F.lit(1), node)).alias("m1")]
 
 
-SAME = ["holders", "m0", "m1", "m2", "m3"]
+SAME = ["holders", "m0", "m1"]
 
 
 def _items(bodies: DataFrame) -> DataFrame:
     """Rows (node, item) of the items before which a set can have its first common one with a partner.
 
-    Values held by the same sets are one item, weighing as many; an item's id has its weight in the last bits. ``before``
-    is the weight of the set's rarer items, ``common`` that of all, ``items`` are all, rarest first.
+    Values held by the same sets are one item, weighing as many; an item's id has its weight in the last bits. ``rarer``
+    is the number of the set's rarer items, ``behind`` the weight of the others, ``items`` are all, rarest first.
     """
     entries = bodies.select("node", "n_shingles", F.explode("sketch").alias("value"))
     common = entries.groupBy("value").agg(*_members(F.col("node"))).where("holders > 1")
-    held = entries.join(common, "value").groupBy("node", "n_shingles", *SAME).agg(F.count("*").alias("weight"), F.min("value").alias("least"))
+    # Values of a set move to its task once, for the items and for their order.
+    held = entries.join(common, "value").repartition("node")
+    held = held.groupBy("node", "n_shingles", *SAME).agg(F.count("*").alias("weight"), F.min("value").alias("least"))
     held = held.withColumn("item", F.shiftleft("least", WEIGHT_BITS).bitwiseOR(F.col("weight")))
     order = Window.partitionBy("node").orderBy("holders", "item")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     held = held.select(
-        "node", "n_shingles", "holders", "item", (F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")).alias("before"),
-        F.sum("weight").over(whole).alias("common"), F.sum(F.col("weight") * F.log2("holders")).over(whole).alias("central"), F.collect_list("item").over(whole).alias("items"))
-    return held.where(F.col("common") - F.col("before") >= _need(WIDE))
+        "node", "n_shingles", "holders", "item", (F.row_number().over(order) - 1).alias("rarer"),
+        (F.sum("weight").over(whole) - F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("weight")).alias("behind"),
+        F.sum(F.col("weight") * F.log2("holders")).over(whole).alias("central"), F.collect_list("item").over(whole).alias("items"))
+    return held.where(F.col("behind") >= _need(WIDE))
 
 
 def _open(lists: DataFrame) -> DataFrame:
-    """Rows of the lists with members of several components; of lists with equal members the rarest, where their pairs meet first."""
-    of_list = lists.groupBy("list").agg(*_members(F.col("node")), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.col("holders").alias("h"), "item")).alias("rank"))
-    first = of_list.where("low < high").groupBy(*SAME).agg(F.min(F.struct("rank", "list")).alias("first")).select("first.list")
+    """Rows of the lists with members of several components and one of its own size; of lists with equal members the rarest, where their pairs meet first."""
+    of_list = lists.groupBy("list").agg(
+        *_members(F.col("node")), F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("own"), F.min("holders").alias("h"), F.min("item").alias("item"))
+    first = of_list.where("low < high and own").groupBy(*SAME).agg(F.min(F.struct("h", "item", "list")).alias("first")).select("first.list")
     return lists.join(first, "list", "left_semi")
 
 
@@ -157,6 +161,16 @@ def _enough(weight: Column, n: Column, other: Column) -> Column:
     return F.when(F.greatest(n, other) > WIDE, weight >= least_shared(WIDE)).otherwise((WHOLE + PART) * weight >= PART * (n + other))
 
 
+def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are links: by the estimate of their sketches, then on full sets."""
+    sides = [bodies.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, WIDE)
+    both = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
+    close = pairs.join(sides[0], "a").join(sides[1], "b").where(both >= F.least(F.lit(least_shared(WIDE)), F.ceil(F.size(union) * PART / WHOLE).cast("int"))).select("a", "b")
+    texts = [bodies.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab"]
+    return close.join(texts[1], "b").join(texts[0], "a").mapInArrow(_verify, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text).
 
@@ -191,54 +205,43 @@ def labelled(docs: DataFrame) -> DataFrame:
     bodies = texts.select("node", "text").mapInArrow(_widen, "node bigint, n_shingles bigint, body binary, sketch array<bigint>")
     # Repeated rows of a document are one body.
     bodies = materialize(bodies.dropDuplicates(["node"]), "bodies")
-    sketches = bodies.select("node", "sketch")
     step = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(CLASS_RATIO)) + 1e-9)
-    alive = _items(bodies).withColumn("size_class", F.explode(F.array(step, step + 1)))
-    alive = materialize(alive.withColumns({"list": F.xxhash64("item", "size_class"), "label": F.col("node")}).drop("size_class"), "items")
-    alive = materialize(_open(alive), "lists")
+    alive = _items(bodies).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    alive = alive.withColumns({"list": F.xxhash64("item", F.when(F.col("own"), step).otherwise(step + 1)), "label": F.col("node")})
+    alive = materialize(alive, "items")
+    # Lists are narrow; the items of a set are read where pairs are made.
+    items = alive.where("own and rarer = 0").select("node", "items")
+    alive, left = counted(_open(alive.drop("items")), "lists")
 
     labels: DataFrame | None = None
-    seen: DataFrame | None = None
     hubs_per_list = 1
-    while alive.limit(1).count():
+    while left:
         salted = alive.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(hubs_per_list)), F.lit(hubs_per_list)))
         hubs = salted.groupBy("list", "salt").agg(F.min(F.struct(
             (-F.col("central")).alias("rest"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n_shingles").alias("hub_n"),
-            (F.col("common") - F.col("before")).alias("hub_behind"), F.col("items").alias("hub_items"))).alias("h"))
+            F.col("behind").alias("hub_behind"), F.col("rarer").alias("hub_rarer"), F.col("own").alias("hub_own"))).alias("h"))
         hubs = materialize(hubs.select("list", "h.*"), "hubs")
-        # Behind the first item that a pair shares there is enough weight on both sides, and what they share is enough.
+        # A pair meets in one list, that of the rarest item it shares and of the larger one's size. Behind that item there is enough
+        # weight on both sides, and what they share is enough.
         n, hub_n = F.col("n_shingles"), F.col("hub_n")
+        met = F.arrays_overlap(F.slice("items", F.lit(1), F.col("rarer")), F.slice("hub_items", F.lit(1), F.col("hub_rarer")))
         overlap = F.aggregate(F.array_intersect("items", "hub_items"), F.lit(0).cast("bigint"), lambda total, item: total + item.bitwiseAND(WEIGHT))
         fits = (
             (F.col("label") != F.col("hub_label")) & (WHOLE * F.least(n, hub_n) >= PART * F.greatest(n, hub_n))
-            & _enough(F.least(F.col("common") - F.col("before"), "hub_behind"), n, hub_n) & _enough(overlap, n, hub_n)
-        )
-        pairs = alive.join(hubs, (alive["list"] == hubs["list"]) & fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, WIDE)
-        both = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-        close = (
-            pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-            .where(both >= F.least(F.lit(least_shared(WIDE)), F.ceil(F.size(union) * PART / WHOLE).cast("int"))).select("a", "b")
+            & (F.col("own") | F.col("hub_own")) & _enough(F.least("behind", "hub_behind"), n, hub_n) & ~met & _enough(overlap, n, hub_n)
         )
-        confirmed = (
-            close.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
-            .join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-            .mapInArrow(_verify, "a bigint, b bigint")
-        )
-        confirmed = materialize(confirmed, "links")
-        if labels is None or confirmed.limit(1).count():
+        members = alive.select("list", "node", "label", "n_shingles", "rarer", "behind", "own").join(items, "node")
+        centres = hubs.join(items.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
+        pairs = members.join(centres, (members["list"] == centres["list"]) & fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs, met_now = counted(pairs, "pairs")
+        confirmed, new = counted(_confirmed(pairs, bodies), "links") if met_now else (None, 0)
+        alive = alive.join(hubs.select(F.col("hub").alias("node"), "list"), ["node", "list"], "left_anti")
+        if new:
             links = confirmed.select(F.col("a").alias("u"), F.col("b").alias("v"))
             labels = components(links if labels is None else labels.unionByName(links))
-        alive = (
-            alive.drop("label").join(hubs.select(F.col("hub").alias("node"), "list"), ["node", "list"], "left_anti")
-            .join(labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        )
-        alive = materialize(_open(alive), "lists")
+            found = labels.select(F.col("u").alias("node"), F.col("v").alias("found"))
+            alive = alive.join(found, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
+        alive, left = counted(_open(alive), "lists")
         hubs_per_list *= ROUND_GROWTH
 
     ids = classes.select("node", F.col("doc_id").alias("smallest"))

@@ -143,6 +143,24 @@ def test_texts_of_shared_passages_are_no_links(spark):
     assert sorted(map(tuple, bottomk.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())) == linked(rows)
 
 
+def test_a_pair_meets_in_one_list_only(spark, monkeypatch):
+    draw, met, frames = random.Random(11), [], type(spark.range(1))
+    plain = frames.distinct
+
+    def distinct(df):
+        if df.columns == ["a", "b"]:
+            met.append((df.count(), plain(df).count()))
+        return plain(df)
+
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(20)]
+    rows = [(i, " ".join(passages[k] for k in range(20) if k != draw.randrange(20)) + f" own{i}") for i in range(40)]
+    monkeypatch.setattr(frames, "distinct", distinct)
+    assert sorted(map(tuple, bottomk.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())) == linked(rows)
+    # Two hubs of a round may find each other.
+    assert met and all(0 < rows_made <= 2 * pairs for rows_made, pairs in met if pairs)
+    assert sum(pairs for _, pairs in met) >= 20
+
+
 def test_rows_that_repeat_an_id_go_by_their_text(spark):
     a, b, c = "one two three four five six seven", "other words that copy nothing at all here", "1 2 3 4 5 6 7 8 9 10"
     rows = [(1, a), (5, a.upper()), (5, b), (3, c), (5, c), (5, None), (None, a), (None, "nobody's words stay"), (None, None), (1, a)]
