@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from raceform.session import materialize
@@ -10,9 +10,12 @@ from raceform.session import materialize
 MAX_ROUNDS = 100
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+def _stored(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``edges`` written, and a mark of them that is taken on the way."""
+    seen = Observation()
+    mark = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("hashes")
+    stored = materialize(edges.observe(seen, *mark), label)
+    return stored, (int(seen.get["n"]), int(seen.get["hashes"]))
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +27,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         new = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-    return new.where("u > v").distinct()
+    # A large star has a row for each edge at most, copies in it go in the small star that follows.
+    return new.where("u > v") if large else new.where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,13 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` are pairs (u, v) of whole numbers in any order; loops, nulls and repeats are harmless. Every step is a
     grouped minimum and a join, both safe for a node with very many edges, and is stored in the shared folder.
     """
-    edges = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(edges)
+    edges, mark = _stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     if mark[0] == 0:
         return edges
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_stars(_stars(edges, True), False), "stars")
-        new = _mark(edges)
+        edges, new = _stored(_stars(_stars(edges, True), False), "stars")
         if new == mark:
             return edges
         mark = new
