@@ -1,8 +1,10 @@
 """Chat formatting, mixing, search, models and surrogates: brute force, round trips and held-out accuracy."""
 
+import itertools
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +137,51 @@ def test_training_steps_follow_the_gradient():
         assert math.isclose((parts[i][at] - moved[i][at]) / 1e-3, (loss(up) - loss(down)) / 2e-4, rel_tol=0.05, abs_tol=2e-3)
 
 
+def masked_scores(texts, network):
+    """Scores by a plain loop that counts contexts without the masked word; ``network`` gives the log-probability of each word's bucket."""
+    lines = [["", *t.lower().split(), ""] for t in texts if t and t.split()]
+    spots = [(x[i - 1], x[i], x[i + 1]) for x in lines for i in range(1, len(x) - 1)]
+    words, pairs = [w for x in lines for w in x[1:]], [p for x in lines for p in itertools.pairwise(x)]
+    bucket = {w: int(masked_lm.bucket_ids(w.encode(), masked_lm.Buckets())[0]) for w in words if w}
+    single, pair, around, whole = Counter(words), Counter(pairs), Counter((a, c) for a, _, c in spots), Counter(spots)
+    buckets = Counter(bucket[w] for w in words if w)
+    for x in lines:
+        total, logs = 0.0, iter(network(" ".join(x[1:-1])))
+        for a, w, c in ((x[i - 1], x[i], x[i + 1]) for i in range(1, len(x) - 1)):
+            base = math.exp(next(logs)) * single[w] / buckets[bucket[w]]
+            one = [(pair[p] - 1 + masked_lm.ONE_PRIOR * base) / (single[s] - 1 + masked_lm.ONE_PRIOR) for p, s in (((a, w), a), ((w, c), c))]
+            total += math.log((whole[a, w, c] - 1 + masked_lm.BOTH_PRIOR * sum(one) / 2) / (around[a, c] - 1 + masked_lm.BOTH_PRIOR))
+        yield total
+
+
+@pytest.mark.parametrize("block", [masked_lm.BLOCK, 40])
+def test_whole_words_are_scored_by_their_contexts_in_the_corpus(spark, block, monkeypatch):
+    draw = random.Random(12)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(draw.randrange(1, 60))) for _ in range(80)]
+    texts += [texts[3], "w1 W1 w1", "alone"]
+    rows = list(enumerate([*texts, None, "", "  "]))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    fitted = []
+    monkeypatch.setattr(masked_lm, "BLOCK", block)
+    plain_fit = masked_lm.fit
+    monkeypatch.setattr(masked_lm, "fit", lambda *a: fitted.append(plain_fit(*a)) or fitted[-1])
+    out = {r.doc_id: r for r in masked_lm.pseudo_likelihood(docs, rounds=1).collect()}
+    model = masked_lm.Model(*fitted[0])
+    network = lambda t: model.token_logs([masked_lm.bucket_ids(t.encode(), masked_lm.Buckets())])
+    expected = list(masked_scores(texts, network))
+    assert len(out) == len(rows) and all(out[i].n_tokens == len(t.split()) for i, t in enumerate(texts))
+    assert all(math.isclose(out[i].log_likelihood, e, rel_tol=1e-4) for i, e in enumerate(expected))
+    assert all((out[i].n_tokens, out[i].log_likelihood, out[i].mean_log_likelihood) == (0, 0.0, None) for i in range(len(texts), len(rows)))
+
+
+def test_a_copy_of_a_rare_document_is_told_from_one_that_stands_alone(spark):
+    draw = random.Random(13)
+    texts = [" ".join(f"t{draw.randrange(3000)}" for _ in range(120)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id int, text string").repartition(4)
+    out = {r.doc_id: r.mean_log_likelihood for r in masked_lm.pseudo_likelihood(docs, rounds=1).collect()}
+    assert min(out[i] for i in [*range(5), *range(100, 105)]) > max(out[i] for i in range(5, 100)) + 3
+
+
 def test_both_sides_help_to_predict(spark):
     draw = random.Random(6)
     pairs = [("red", "apple"), ("blue", "sky"), ("green", "leaf"), ("old", "stone")]
